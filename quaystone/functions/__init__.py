@@ -1,0 +1 @@
+"""Scalar functions: every one takes and returns Columns."""

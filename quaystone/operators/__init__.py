@@ -1,0 +1 @@
+"""Operators over tables of objects, versions, replicas, rules and requests."""

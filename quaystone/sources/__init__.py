@@ -1,0 +1 @@
+"""Readers and the views that stand in for a store's tables."""
