@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaystone.llm._common import lookup, stash
 
@@ -26,7 +27,7 @@ CELLS = 4
 BLOCK = 1 << 13
 
 
-@F.pandas_udf("sha binary, chars bigint")
+@F.pandas_udf(T.StructType([T.StructField("sha", T.BinaryType()), T.StructField("chars", T.LongType())]))
 def _digest(texts: pd.Series) -> pd.DataFrame:
     texts = ["" if t is None else t for t in texts]
     return pd.DataFrame(

@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaystone.llm._common import lookup, stash
 from quaystone.llm.components import connected_components
@@ -54,7 +55,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(spans), bitorder="little").tobytes(), "little")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
