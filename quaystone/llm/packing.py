@@ -106,7 +106,8 @@ def pack(
     bucket = F.size(F.filter(top, lambda b: b < binned(F.col("n_tokens"))))
     rows = rows.withColumn("bucket", bucket).withColumn("bucket_max", F.get(top, F.col("bucket")).cast("bigint"))
     slices = F.get(F.lit([max(1, -(-c // slice_rows)) for c in filled]), F.col("bucket"))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.lit(1)), slices).cast("int"))
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
+    rows = rows.withColumn("slice", F.pmod(hashed, slices).cast("int"))
     place = F.row_number().over(W.partitionBy("bucket", "slice").orderBy("doc_id", "n_tokens")) - 1
     room = F.greatest(F.lit(1), (F.lit(token_budget) / F.greatest("bucket_max", F.lit(1))).cast("int"))
     batch = F.concat_ws("-", F.col("bucket").cast("string"), F.col("slice").cast("string"), (place / room).cast("int").cast("string"))
