@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.functions import globs, hashing, keys, meta, times
+from quaystone.functions import globs, hashing, keys, meta, projections, times
 from quaystone.functions import requests as rq
-from quaystone.operators import audit, iam, lifecycle, listing, metrics, multipart, notify, quorum, snapshot, stateful, usage, versions
+from quaystone.operators import audit, changes, iam, lifecycle, listing, metrics, multipart, notify, quorum, snapshot, stateful, usage, versions
 from quaystone.plans import sqlviews as v
 from quaystone.sources import sinks, views
 
@@ -833,3 +833,76 @@ def audit_verify(spark, sf):
     chained = audit.build(rows).join(rows, ["chain", "seq"])
     edited = chained.withColumn("body", F.when(F.col("seq") % 1000 == 13, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
     return audit.verify(edited)
+
+
+# Changes.
+
+
+@query(
+    _V + _SNAP
+    + """, plan AS (SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.key, b.key) AS key, a.version_id AS was, b.version_id AS now FROM was a FULL JOIN cur b ON a.bucket = b.bucket AND a.key = b.key),
+last AS (SELECT bucket, key, max(seq) AS top FROM ver GROUP BY 1, 2)
+SELECT bucket, key, seq, delete_marker, size FROM ver UNION ALL
+SELECT bucket, key, top + 1, false, size FROM plan p JOIN last USING (bucket, key) JOIN (SELECT version_id AS was, size FROM ver) USING (was) WHERE p.was IS NOT NULL AND p.was IS DISTINCT FROM p.now UNION ALL
+SELECT bucket, key, top + 1, true, NULL FROM plan p JOIN last USING (bucket, key) WHERE p.was IS NULL"""
+)
+def snapshot_restore(spark, sf):
+    log = views.versions(spark, sf).select(*_VC)
+    then = versions.as_of(log, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).where("NOT delete_marker")
+    return changes.restore(log, then, views.NOW).select("bucket", "key", "seq", "delete_marker", "size")
+
+
+@query(v.with_(v.DOCS) + f"SELECT bucket, key, CASE WHEN doc_id % 3 = 0 THEN 'a=1' ELSE 'old=1' END AS user_tags, CASE WHEN doc_id % 3 = 0 THEN {v.NOW} ELSE TIMESTAMP '2024-01-01' END AS mod_time FROM docs")
+def tag_change(spark, sf):
+    docs = views.doc_objects(spark, sf)
+    table = docs.withColumn("user_tags", F.lit("old=1")).withColumn("mod_time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    asked = docs.where("doc_id % 3 = 0").select("bucket", "key", F.lit("a=1").alias("tags"))
+    return changes.set_tags(table, asked, views.NOW).select("bucket", "key", "user_tags", "mod_time")
+
+
+@query(v.with_(v.DOCS) + "SELECT bucket, key, size FROM docs WHERE doc_id % 4 <> 1 UNION ALL SELECT bucket, key, size FROM docs WHERE doc_id % 4 = 1 UNION ALL SELECT 'copies', bucket || '/' || key, size FROM docs WHERE doc_id % 4 = 1")
+def copy_objects(spark, sf):
+    docs = views.doc_objects(spark, sf)
+    table = docs.select("bucket", "key", "size", F.create_map(F.lit("a"), F.lit("1")).alias("user_meta"), F.lit(views.NOW).cast("timestamp_ntz").alias("mod_time"))
+    asked = docs.where("doc_id % 4 = 1").select(
+        "bucket", "key", F.lit("copies").alias("to_bucket"), F.concat_ws("/", "bucket", "key").alias("to_key"), F.lit("REPLACE").alias("directive"), F.create_map(F.lit("b"), F.lit("2")).alias("user_meta")
+    )
+    return changes.copy_objects(table, asked, views.NOW).select("bucket", "key", "size")
+
+
+@query(
+    v.with_(v.DOCS)
+    + """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ok' WHEN size = 0 THEN 'ok' ELSE 'InvalidWriteOffset' END AS outcome, CASE WHEN doc_id % 2 = 0 OR size = 0 THEN CAST(size + 2 AS INTEGER) END AS new_size FROM docs"""
+)
+def append_objects(spark, sf):
+    docs = views.doc_objects(spark, sf).join(views.table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id")
+    offset = F.when(F.col("doc_id") % 2 == 0, F.col("size")).otherwise(0)
+    asked = docs.select("bucket", "key", "doc_id", offset.alias("offset"), F.lit(b"xy").alias("content"))
+    return changes.append(docs.select("bucket", "key", "content"), asked).select("doc_id", "outcome", F.octet_length("new_content").alias("new_size"))
+
+
+@query(v.with_(v.WEB) + "SELECT id, CASE WHEN id % 2 = 0 THEN 'cas/' || substr(etag, 1, 2) || '/' || etag ELSE bucket || '/' || key END AS location, 'STANDARD' AS storage_class FROM web")
+def data_location(spark, sf):
+    ref = F.when(F.col("id") % 2 == 0, F.col("etag"))
+    return views.web_objects(spark, sf).select("id", projections.data_location(F.col("bucket"), F.col("key"), ref).alias("location"), projections.storage_class(F.lit("")).alias("storage_class"))
+
+
+@query(v.with_(v.REQ) + "SELECT req_id FROM req WHERE status < 400 AND method IN ('PUT', 'DELETE')")
+def audit_admission(spark, sf):
+    none = F.array().cast("array<string>")
+    keep = projections.audited(F.col("status"), F.col("method"), none, F.lit("application/json"), F.lit("/b/k"))
+    return views.requests(spark, sf).where(keep).select("req_id")
+
+
+@query(v.with_(v.DOCS) + "SELECT doc_id, doc_id % 5 = 0 AND key LIKE 'en/%' AS allowed FROM docs")
+def ingest_match(spark, sf):
+    token = F.concat(F.lit("t"), (F.col("doc_id") % 5).cast("string"))
+    ok = projections.ingest_allowed(token, F.sha2(F.lit("t0"), 256), F.col("key"), F.lit("en/"))
+    return views.doc_objects(spark, sf).select("doc_id", ok.alias("allowed"))
+
+
+@query(v.with_(v.REQ) + "SELECT method, CASE method WHEN 'GET' THEN 'get-object' WHEN 'PUT' THEN 'put-object' WHEN 'DELETE' THEN 'delete-object' ELSE 'new-upload' END AS operation, count(*) AS n FROM req GROUP BY 1, 2")
+def operation_mix(spark, sf):
+    names = F.when(F.col("method") == "POST", F.array(F.lit("uploads"))).otherwise(F.array().cast("array<string>"))
+    name = rq.operation_name(F.col("method"), F.lit("b"), F.lit("o"), names, F.lit(False))
+    return views.requests(spark, sf).groupBy("method", name.alias("operation")).agg(F.count("*").alias("n"))

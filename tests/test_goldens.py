@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quaystone.functions import globs, hashing, keys, meta, times
+from quaystone.functions import globs, hashing, keys, meta, projections, times
 from quaystone.functions import requests as rq
-from quaystone.operators import audit, iam, lifecycle, listing, multipart, notify, quorum, snapshot, stateful, usage, versions
+from quaystone.operators import audit, changes, iam, lifecycle, listing, multipart, notify, quorum, snapshot, stateful, usage, versions
 from quaystone.sources import readers, sinks
 
 NOW = "2024-02-01 00:00:00"
@@ -314,3 +314,41 @@ def test_sinks_and_readers(spark, tmp_path):
     assert {r.bucket: r.config.quotaBytes for r in readers.bucket_configs(configs).collect()} == {"a": 5, "b": 7}
     errors = rq.with_error(spark.createDataFrame([("object_not_found",), ("odd",), (None,)], "outcome string"))
     assert sorted((r.outcome or "", r.code or "", r.status) for r in errors.collect()) == [("", "", 200), ("object_not_found", "NoSuchKey", 404), ("odd", "InternalError", 500)]
+
+
+def test_signatures(spark):
+    import hashlib
+    import hmac
+
+    for key in (b"k", b"x" * 100):
+        want = hmac.new(key, b"message", hashlib.sha256).hexdigest()
+        assert value(spark, projections.hmac_sha256(key, F.lit("message"))) == want
+    # the documented derivation for a signed request
+    assert projections.signing_key("wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY", "20120215", "us-east-1", "iam").hex() == "f4780e2d9f65fa895f9c67b32ce1baf0b0d8a43505a000a1a9e090d414db404d"
+
+
+def test_projections(spark):
+    assert value(spark, projections.bucket_of_host(F.lit("photos.s3.local:9000"), "s3.local")) == "photos" and value(spark, projections.bucket_of_host(F.lit("s3.local"), "s3.local")) is None
+    m = F.create_map(F.lit("Content-Type"), F.lit("text/plain"), F.lit("Owner"), F.lit("me"))
+    r = value(spark, projections.stored_metadata(m))
+    assert (r.content_type, r.content_encoding, r.user) == ("text/plain", None, {"owner": "me"})
+    h = value(spark, projections.response_headers(F.create_map(F.lit("a"), F.lit("1")), F.lit("e"), F.lit("x=1&y=2")))
+    assert h == {"x-amz-meta-a": "1", "ETag": '"e"', "x-amz-tagging-count": "2"}
+    assert value(spark, projections.data_location(F.lit("b"), F.lit("k"), F.lit(None).cast("string"))) == "b/k"
+
+
+def test_changes(spark):
+    xml = "<L><Rule><ID>a</ID><Filter><Prefix>f/</Prefix></Filter><Prefix>p/</Prefix><Expiration><Days>3</Days></Expiration></Rule><Rule><ID>b</ID><Prefix>p/</Prefix><Status>Disabled</Status></Rule></L>"
+    rules = changes.lifecycle_rows(spark.createDataFrame([("b", xml)], "bucket string, document string")).orderBy("rule_pos").collect()
+    assert [(r.id, r.prefix, r.status, r.expiration_days) for r in rules] == [("a", "f/", "Enabled", 3), ("b", "p/", "Disabled", None)]
+    old = spark.createDataFrame([("b", "1", "s")], "bucket string, id string, secret string")
+    new = spark.createDataFrame([("b", "1", "********"), ("b", "2", "n")], "bucket string, id string, secret string")
+    assert {r.id: r.secret for r in changes.merge_secrets(old, new).collect()} == {"1": "s", "2": "n"}
+    answers = spark.createDataFrame([("r", 1, True), ("r", 1, True), ("r", 1, False), ("r", 2, True)], "resource string, token int, granted boolean")
+    assert {r.token: r.held for r in changes.lock_granted(answers, 3).collect()} == {1: True, 2: False}
+    people = spark.createDataFrame([("a", "x"), ("b", "y")], "access_key string, status string")
+    asked = spark.createDataFrame([("b", None, "remove"), ("c", "z", "put"), ("a", "w", "put")], "access_key string, status string, op string")
+    assert sorted(map(tuple, changes.change_identities(people, asked).collect())) == [("a", "w"), ("c", "z")]
+    text = spark.createDataFrame([("b", "k", bytearray(b"hello"))], "bucket string, key string, content binary")
+    more = spark.createDataFrame([("b", "k", 5, bytearray(b"!")), ("b", "new", 0, bytearray(b"n")), ("b", "k", 3, bytearray(b"?"))], "bucket string, key string, offset long, content binary")
+    assert sorted((r.outcome, bytes(r.new_content or b"")) for r in changes.append(text, more).collect()) == [("InvalidWriteOffset", b""), ("ok", b"hello!"), ("ok", b"n")]
