@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quaystone.functions.keys import extension
 
 USER_PREFIX = "x-amz-meta-"
-EXPIRY_SUFFIX = "gostore-expires"
+#: How the name of an object's own expiry header ends; stores put their own name before it.
+EXPIRY_SUFFIX = "-expires"
 
 # Content types by extension.
 CONTENT_TYPES = {
@@ -38,9 +39,9 @@ def without_reserved(meta: Column, reserved: tuple[str, ...] = ("content-type",
     return F.map_filter(meta, lambda k, _: ~F.lower(k).isin(*reserved))
 
 
-def expiry_text(meta: Column) -> Column:
+def expiry_text(meta: Column, suffix: str = EXPIRY_SUFFIX) -> Column:
     """The expiry header's value, found by the end of its name; null without one."""
-    entries = F.filter(F.map_entries(meta), lambda e: F.endswith(F.lower(e["key"]), F.lit(EXPIRY_SUFFIX)))
+    entries = F.filter(F.map_entries(meta), lambda e: F.endswith(F.lower(e["key"]), F.lit(suffix)))
     return F.try_element_at(F.transform(entries, lambda e: e["value"]), F.lit(1))
 
 

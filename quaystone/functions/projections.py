@@ -42,12 +42,10 @@ def bucket_of_host(host: Column, base: str) -> Column:
     return F.when(F.endswith(bare, F.lit("." + base)), F.substring_index(bare, "." + base, 1))
 
 
-def internal_path(path: Column) -> Column:
-    """Requests of the server's own pages and probes, which statistics leave out."""
-    out = F.lit(False)
-    for start in ("/_/", "/minio/health", "/metrics", "/health", "/favicon.ico"):
-        out = out | F.startswith(path, F.lit(start))
-    return out
+def internal_path(path: Column, root: str = "/-") -> Column:
+    """Requests of the server's own pages and probes, below ``root``, which statistics leave out."""
+    folders = [F.startswith(path, F.lit(f"{root}/{x}")) for x in ("health/", "console", "internal/")]
+    return (path == f"{root}/metrics") | folders[0] | folders[1] | folders[2]
 
 
 def audited(status: Column, method: Column, query: Column, content_type: Column, path: Column) -> Column:

@@ -5,8 +5,9 @@ segment of the shorter, at a place that the lengths allow; so segments are index
 number, and each line probes the substrings at those places (the narrow windows in which the edits before
 and behind a segment still fit). Pairs that meet are verified by a banded bit-parallel edit distance.
 
-A key on which very many lines meet is not paired. Its lines, without the segment that they share, go through
-the same join once more among themselves, as the edits must lie in the rest.
+Before that, 64 parities of neighbouring characters, of which an edit flips few, rule out most pairs inside
+the join. A key on which very many lines meet is not paired at all. Its lines, without the segment that they
+share, go through the same join once more among themselves, as the edits must lie in the rest.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaystone.llm import bloom
 from quaystone.llm._common import stash
@@ -39,14 +41,17 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), i - short), F.when(F.lit(i) < short, base).otherwise(base + 1)
 
 
-def signatures(line: Column, group: Column, distance: int) -> Column:
-    """All keys of a line: array of (key, at, size, role). ``group`` keeps lines of different groups apart."""
-    parts, length, out = distance + 1, F.length(line), []
+def signatures(data: Column, length: Column, group: Column, distance: int) -> Column:
+    """All keys of a line: array of (key, at, size, role). ``group`` keeps lines of different groups apart.
+
+    ``data`` is the line in UTF-32, so that a place in it is found without walking over its characters.
+    """
+    parts, out = distance + 1, []
 
     def add(role: int, target: Column, i: int, shift: int) -> None:
         start, size = _segment(target, i, parts)
         at = (start + shift).cast("int")
-        key = F.xxhash64(group, target, F.lit(i), F.substring(line, at + 1, size))
+        key = F.xxhash64(group, target, F.lit(i), F.substring(data, at * 4 + 1, size * 4))
         out.append(F.struct(key.alias("key"), at.alias("at"), size.cast("int").alias("size"), F.lit(role).alias("role")))
 
     for i in range(parts):
@@ -62,14 +67,16 @@ def _within(a: pd.Series, b: pd.Series, most: int) -> np.ndarray:
     """Whether the edit distance of each pair is ``most`` or less: banded bit-parallel, all pairs at a time.
 
     A 64-bit word holds, for each pair, the vertical differences of the band of 2 * most + 1 cells around the
-    diagonal; one step of the loop moves all bands down by one character.
+    diagonal; one step of the loop moves all bands down by one character. A common start of ``most`` characters,
+    which changes no distance, lets the band begin inside the shortest texts.
     """
-    la, lb = a.str.len().to_numpy(), b.str.len().to_numpy()
+    la, lb = a.str.len().to_numpy() + most, b.str.len().to_numpy() + most
     n, width = len(a), int(max(la.max(), lb.max())) + 2 * most + 2
     codes = [np.full((width, n), fill, np.int32) for fill in (-1, -2)]
     for grid, texts in zip(codes, (a, b), strict=True):
+        grid[:most] = 0
         for k, t in enumerate(texts):
-            grid[: len(t), k] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+            grid[most : most + len(t), k] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
     sa, sb = codes
     one, top = np.uint64(1), np.uint64(1 << 63)
     vp = np.full(n, ((1 << 64) - 1) << (64 - most - 1) & (1 << 64) - 1, np.uint64)
@@ -107,7 +114,8 @@ def within_distance(distance: int):
 
 def _meeting(items: DataFrame, distance: int, hot_pairs: int) -> DataFrame:
     """id, key, at, size, role, hot for keys on which an index entry and a probe of another line meet; one shuffle."""
-    keys = items.select("id", F.explode(signatures(F.col("line"), F.col("grp"), distance)).alias("s")).select("id", "s.*")
+    wide = items.select("id", "grp", F.encode("line", "UTF-32").alias("data"), F.length("line").alias("n"))
+    keys = wide.select("id", F.explode(signatures(F.col("data"), F.col("n"), F.col("grp"), distance)).alias("s")).select("id", "s.*")
     keys = keys.repartition("key").groupBy("key", "id", "at").agg(F.bit_or("role").alias("role"), F.min("size").alias("size"))
     on = W.partitionBy("key")
     entries, probes = F.sum(F.col("role").bitwiseAND(F.lit(INDEX))).over(on), F.sum(F.shiftright("role", 1)).over(on)
@@ -117,7 +125,18 @@ def _meeting(items: DataFrame, distance: int, hot_pairs: int) -> DataFrame:
     return keys.select("id", "key", "at", "size", "role", (F.col("entries") * F.col("probes") > hot_pairs).alias("hot"))
 
 
-def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 40_000) -> DataFrame:
+@F.pandas_udf(T.LongType())
+def _pair_parity(texts: pd.Series) -> pd.Series:
+    """64 parities of how often hashed pairs of neighbouring characters occur; one edit flips four at most."""
+    out = np.zeros(len(texts), np.uint64)
+    for k, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        at = (codes[:-1] * np.uint64(0x9E3779B1) + codes[1:] * np.uint64(0x85EBCA77)) >> np.uint64(13) & np.uint64(63)
+        out[k] = np.packbits((np.bincount(at.astype(np.int64), minlength=64) & 1).astype(np.uint8)).view(">u8")[0]
+    return pd.Series(out.view(np.int64))
+
+
+def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 26) -> DataFrame:
     """Links a < b between ids of distinct lines (columns id, line) within the edit distance."""
     items = lines.select("id", "line", F.lit(0).cast("bigint").alias("grp"))
     met = stash(_meeting(items, distance, hot_pairs))
@@ -127,24 +146,28 @@ def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 40_000)
     # texts of lines that met: a filter drops most others before the shuffle, the join drops the rest
     ids = met.select("id").distinct()
     seen = bloom.build(ids, "id", n, 0.02, salt=3)
-    texts = stash(lines.where(seen.contains(F.col("id"))).select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    pairs, level = _pairs(met.where("NOT hot")), 1
+    texts = lines.where(seen.contains(F.col("id"))).select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = stash(texts.withColumn("parity", _pair_parity("line")))
+    pairs, level = _pairs(met.where("NOT hot"), texts, distance), 1
     while (hot := met.where("hot")).head(1):
         rest = F.concat(F.expr("substring(line, 1, at)"), F.lit("\x00"), F.expr("substring(line, at + size + 1)"))
         items = hot.join(texts, "id").select("id", rest.alias("line"), F.col("key").alias("grp"))
         level += 1
         met = stash(_meeting(items, distance, hot_pairs if level < LEVELS else 1 << 62))
-        pairs = pairs.unionByName(_pairs(met.where("NOT hot")))
+        pairs = pairs.unionByName(_pairs(met.where("NOT hot"), texts, distance))
     pairs = stash(pairs.distinct())
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     near = within_distance(distance)(F.col("x"), F.col("y"))
     return pairs.join(left, "a").join(right, "b").where(F.abs(F.length("x") - F.length("y")) <= distance).where(near).select("a", "b")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    index = met.where(F.col("role").bitwiseAND(F.lit(INDEX)) > 0).select("key", F.col("id").alias("p"))
-    probe = met.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).select("key", F.col("id").alias("q"))
-    found = index.join(probe, "key").where("p <> q")
+def _pairs(met: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
+    """Pairs that meet on a key and whose parities do not rule them out; lines of near copies that differ in words stay apart here."""
+    rows = met.select("key", "role", "id").join(texts.select("id", "parity"), "id")
+    index = rows.where(F.col("role").bitwiseAND(F.lit(INDEX)) > 0).select("key", F.col("id").alias("p"), F.col("parity").alias("u"))
+    probe = rows.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).select(F.col("key").alias("k"), F.col("id").alias("q"), F.col("parity").alias("v"))
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4 * distance
+    found = index.join(probe, (F.col("key") == F.col("k")) & (F.col("p") != F.col("q")) & near)
     return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 

@@ -352,3 +352,10 @@ def test_changes(spark):
     text = spark.createDataFrame([("b", "k", bytearray(b"hello"))], "bucket string, key string, content binary")
     more = spark.createDataFrame([("b", "k", 5, bytearray(b"!")), ("b", "new", 0, bytearray(b"n")), ("b", "k", 3, bytearray(b"?"))], "bucket string, key string, offset long, content binary")
     assert sorted((r.outcome, bytes(r.new_content or b"")) for r in changes.append(text, more).collect()) == [("InvalidWriteOffset", b""), ("ok", b"hello!"), ("ok", b"n")]
+
+
+def test_own_expiry_header_and_noise(spark):
+    m = F.create_map(F.lit("x-amz-meta-Store-Expires"), F.lit("7d"), F.lit("other"), F.lit("x"))
+    assert value(spark, meta.expiry_text(m)) == "7d" and value(spark, meta.expiry_text(F.create_map(F.lit("a"), F.lit("b")))) is None
+    paths = ["/-/health/live", "/-/metrics", "/-/console/app.js", "/bucket/health/x", "/-/metricsx"]
+    assert [value(spark, projections.internal_path(F.lit(p))) for p in paths] == [True, True, True, False, False]
