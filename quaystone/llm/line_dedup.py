@@ -55,11 +55,11 @@ def signatures(data: Column, length: Column, group: Column, distance: int) -> Co
         out.append(F.struct(key.alias("key"), at.alias("at"), size.cast("int").alias("size"), F.lit(role).alias("role")))
 
     for i in range(parts):
-        add(INDEX, length, i, 0)
         for longer in range(distance + 1):
             low, high = max(-i, longer - (distance - i)), min(i, longer + (distance - i))
             for shift in range(low, high + 1):
-                add(PROBE, length - longer, i, shift)
+                # a line's own segment, unshifted, is both an index entry and the probe for lines of equal length
+                add(PROBE if longer or shift else INDEX | PROBE, length - longer, i, shift)
     return F.array(*out)
 
 
