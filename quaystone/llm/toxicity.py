@@ -193,15 +193,37 @@ def fit(
     return ToxicityModel(grammar, _logistic(np.array([r["x"] for r in sample]), np.array([r["toxic"] for r in sample], float)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> tuple[float, ...]:
-    """Newton's method for a logistic regression with a small ridge; weights of features stay at zero or above."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> tuple[float, ...]:
+    """Logistic regression with a small ridge; weights of features stay at zero or above.
+
+    Newton's method on the weights that are free to move; every step is halved until the penalised loss falls,
+    so labels that the features separate cannot throw the weights off.
+    """
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * w @ w)
+
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w = w - np.linalg.solve(h, x.T @ (p - y) + ridge * w)
-        w[1:] = np.maximum(w[1:], 0)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        gradient = x.T @ (p - y) + ridge * w
+        free = np.r_[True, (w[1:] > 0) | (gradient[1:] < 0)]
+        h = (x[:, free] * (p * (1 - p))[:, None]).T @ x[:, free] + ridge * np.eye(free.sum())
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(h, gradient[free])
+        for halving in range(40):
+            moved = w - step * 0.5**halving
+            moved[1:] = np.maximum(moved[1:], 0)
+            if (then := loss(moved)) < now:
+                break
+        else:
+            break
+        gained, w, now = now - then, moved, then
+        if gained <= 1e-9 * (1 + now):
+            break
     return tuple(float(v) for v in w)
 
 

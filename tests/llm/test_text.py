@@ -3,6 +3,7 @@
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,28 @@ def test_toxicity_learns_and_holds_out(spark, data):
     assert held == {r.doc_id for r in table.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
 
 
+@pytest.mark.parametrize("noise", [0.0, 0.02])
+def test_logistic_settles_on_separable_labels(noise):
+    """Features that all but tell the labels apart, many of them zero: the weights stay small and the labels are met."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(16_000) < 0.1).astype(float)
+    x = rng.gamma(2.0, 3.0, (16_000, 4)) * ((rng.random(16_000) < np.where(y == 1, 1 - noise, noise))[:, None])
+    w = toxicity._logistic(x, y)
+    score = 1 / (1 + np.exp(-np.clip(w[0] + x @ np.array(w[1:]), -50, 50)))
+    assert np.abs(w).max() < 100 and w[0] < 0 and min(w[1:]) >= 0
+    assert ((score >= 0.5) == (y == 1)).mean() > 0.96
+
+
+def test_toxicity_keeps_clean_documents_of_a_larger_table(spark):
+    """As many labels as the weights once diverged on; clean documents stay below the threshold."""
+    data = "/root/testdata/check_s"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~queries.held_out(5, 0)))
+    tried = docs.join(labels.where(queries.held_out(5, 0)), "doc_id").select("toxic", (model.column(F.col("text")) >= 0.5).cast("int").alias("hit"))
+    share = {r["toxic"]: r["share"] for r in tried.groupBy("toxic").agg(F.avg("hit").alias("share")).collect()}
+    assert share[0] <= 0.02 and share[1] >= 0.5
+
+
 def test_toxicity_edges(spark):
     rows = docs(spark, [(1, None), (2, ""), (3, "you are an idiot and a moron"), (3, "you are an idiot and a moron"), (None, "nice")])
     model = toxicity.fit(rows, spark.createDataFrame([], "doc_id bigint, toxic int"))
