@@ -25,6 +25,8 @@ from quaystone.llm.components import connected_components
 
 INDEX, PROBE = 1, 2
 LEVELS = 4
+#: Tasks over which the probes of a key are dealt on the last level, where all that meets is paired.
+SALTS = 16
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -113,16 +115,19 @@ def within_distance(distance: int):
 
 
 def _meeting(items: DataFrame, distance: int, hot_pairs: int) -> DataFrame:
-    """id, key, at, size, role, hot for keys on which an index entry and a probe of another line meet; one shuffle."""
-    wide = items.select("id", "grp", F.encode("line", "UTF-32").alias("data"), F.length("line").alias("n"))
-    keys = wide.select("id", F.explode(signatures(F.col("data"), F.col("n"), F.col("grp"), distance)).alias("s")).select("id", "s.*")
-    keys = keys.repartition("key").groupBy("key", "id", "at").agg(F.bit_or("role").alias("role"), F.min("size").alias("size"))
+    """id, grp, text, key, at, size, role, hot for keys on which an index entry and a probe of another line meet; one shuffle.
+
+    ``text`` tells apart what a line was shortened to, as ``at`` is a place in that.
+    """
+    wide = items.select("id", "grp", "text", F.encode("line", "UTF-32").alias("data"), F.length("line").alias("n"))
+    keys = wide.select("id", "grp", "text", F.explode(signatures(F.col("data"), F.col("n"), F.col("grp"), distance)).alias("s")).select("id", "grp", "text", "s.*")
+    keys = keys.repartition("key").groupBy("key", "id", "grp", "text", "at").agg(F.bit_or("role").alias("role"), F.min("size").alias("size"))
     on = W.partitionBy("key")
     entries, probes = F.sum(F.col("role").bitwiseAND(F.lit(INDEX))).over(on), F.sum(F.shiftright("role", 1)).over(on)
     keys = keys.withColumn("least", F.min("id").over(on)).withColumn("most", F.max("id").over(on))
     keys = keys.withColumn("entries", entries).withColumn("probes", probes)
     keys = keys.where("least < most AND entries > 0 AND probes > 0")
-    return keys.select("id", "key", "at", "size", "role", (F.col("entries") * F.col("probes") > hot_pairs).alias("hot"))
+    return keys.select("id", "grp", "text", "key", "at", "size", "role", (F.col("entries") * F.col("probes") > hot_pairs).alias("hot"))
 
 
 @F.pandas_udf(T.LongType())
@@ -138,7 +143,8 @@ def _pair_parity(texts: pd.Series) -> pd.Series:
 
 def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 26) -> DataFrame:
     """Links a < b between ids of distinct lines (columns id, line) within the edit distance."""
-    items = lines.select("id", "line", F.lit(0).cast("bigint").alias("grp"))
+    zero = F.lit(0).cast("bigint")
+    items = lines.select("id", "line", zero.alias("grp"), zero.alias("text"))
     met = stash(_meeting(items, distance, hot_pairs))
     n = met.select(F.approx_count_distinct("id")).first()[0]
     if not n:
@@ -151,23 +157,34 @@ def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 26)
     pairs, level = _pairs(met.where("NOT hot"), texts, distance), 1
     while (hot := met.where("hot")).head(1):
         rest = F.concat(F.expr("substring(line, 1, at)"), F.lit("\x00"), F.expr("substring(line, at + size + 1)"))
-        items = hot.join(texts, "id").select("id", rest.alias("line"), F.col("key").alias("grp"))
+        # each level cuts the text that its places refer to: the whole line first, then what the level before left of it
+        cut = hot.join(texts.select("id", "line"), "id") if level == 1 else hot.join(items, ["id", "grp", "text"])
+        items = cut.select("id", rest.alias("line"), F.col("key").alias("grp")).withColumn("text", F.xxhash64("line")).distinct()
+        items = stash(items)
         level += 1
         met = stash(_meeting(items, distance, hot_pairs if level < LEVELS else 1 << 62))
-        pairs = pairs.unionByName(_pairs(met.where("NOT hot"), texts, distance))
+        pairs = pairs.unionByName(_pairs(met.where("NOT hot"), texts, distance, 1 if level < LEVELS else SALTS))
     pairs = stash(pairs.distinct())
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     near = within_distance(distance)(F.col("x"), F.col("y"))
     return pairs.join(left, "a").join(right, "b").where(F.abs(F.length("x") - F.length("y")) <= distance).where(near).select("a", "b")
 
 
-def _pairs(met: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
-    """Pairs that meet on a key and whose parities do not rule them out; lines of near copies that differ in words stay apart here."""
+def _pairs(met: DataFrame, texts: DataFrame, distance: int, salts: int = 1) -> DataFrame:
+    """Pairs that meet on a key and whose parities do not rule them out; lines of near copies that differ in words stay apart here.
+
+    With ``salts``, a key's probes are dealt over so many tasks, each of which gets all its entries.
+    """
     rows = met.select("key", "role", "id").join(texts.select("id", "parity"), "id")
     index = rows.where(F.col("role").bitwiseAND(F.lit(INDEX)) > 0).select("key", F.col("id").alias("p"), F.col("parity").alias("u"))
     probe = rows.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).select(F.col("key").alias("k"), F.col("id").alias("q"), F.col("parity").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4 * distance
-    found = index.join(probe, (F.col("key") == F.col("k")) & (F.col("p") != F.col("q")) & near)
+    on = F.col("key") == F.col("k")
+    if salts > 1:
+        index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        probe = probe.withColumn("dealt", F.pmod(F.xxhash64("q", F.lit(5)), F.lit(salts)).cast("int"))
+        on = on & (F.col("salt") == F.col("dealt"))
+    found = index.join(probe, on & (F.col("p") != F.col("q")) & near)
     return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
