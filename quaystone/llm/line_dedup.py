@@ -194,17 +194,17 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Lines are linked within ``distance`` edits (case and marks count); a class is all lines reachable over
     links. It is named by its first line by doc_id and number, which alone is kept. class_size counts all
-    lines of the class with repeats, links the other distinct lines within the distance. Null texts and rows
+    lines of the class with repeats, links the other distinct lines within the distance. Lines of fewer than
+    3 * (distance + 1) characters have no links and are in a class with equal ones. Null texts and rows
     with a null id have no rows here. Rows with equal ids share line numbers, and so decisions. Other columns
     are ignored. Distinct lines are told apart by a 64-bit hash.
     """
-    if min_chars < 3 * (distance + 1):
-        raise ValueError("min_chars is too small for segments of three characters")
-    lines = lines_of(docs, id_col, text_col, min_chars)
+    lines = lines_of(docs, id_col, text_col, max(min_chars, 1))
     places = stash(lines.select("id", "doc_id", "line_no"))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     distinct = stash(places.groupBy("id").agg(first, F.count("*").alias("copies")))
-    links = stash(similar_lines(lines, distance))
+    # segments of three characters at least; shorter lines are in a class only with equal ones
+    links = stash(similar_lines(lines.where(F.length("line") >= 3 * (distance + 1)), distance))
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     parts = connected_components(links).withColumnRenamed("node", "id").join(degrees, "id")
     named = distinct.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")).fillna(0, ["links"])

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 
 from quaystone.llm import line_dedup
@@ -29,3 +30,10 @@ def test_hot_levels_lose_no_link(spark, hot_pairs):
     table = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")
     found = {tuple(r) for r in line_dedup.similar_lines(table, 2, hot_pairs).collect()}
     assert found == {(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 2 and distance(lines[i], lines[j]) <= 2}
+
+
+def test_short_lines_are_grouped(spark):
+    """Lines of nine characters and more by edits, shorter ones by equality; no blank line."""
+    rows = [(1, "Un.\nAll rights\n\nonce"), (2, " Un.\nAll right\n \t"), (3, "Um.\nUn.")]
+    out = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"), "")
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 3: "Um."}
