@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.llm import bloom
+from quaystone.llm import bloom, near_copies
 from quaystone.llm._common import stash
 from quaystone.llm.components import connected_components
 
@@ -188,12 +188,12 @@ def _pairs(met: DataFrame, texts: DataFrame, distance: int, salts: int = 1) -> D
     return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, min_chars: int = 32) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, min_chars: int = 32, copies: bool = False) -> DataFrame:
     """One row for each line of at least ``min_chars`` characters (trimmed of ASCII white space): doc_id, line_no,
     class_doc_id, class_line_no, class_size, links, kept.
 
-    Lines are linked within ``distance`` edits (case and marks count); a class is all lines reachable over
-    links. It is named by its first line by doc_id and number, which alone is kept. class_size counts all
+    Lines are linked within ``distance`` edits (case and marks count) and, with ``copies``, if they have nine
+    words or more and share four fifths of their five-word shingles; a class is all lines reachable over links. It is named by its first line by doc_id and number, which alone is kept. class_size counts all
     lines of the class with repeats, links the other distinct lines within the distance. Lines of fewer than
     3 * (distance + 1) characters have no links and are in a class with equal ones. Null texts and rows
     with a null id have no rows here. Rows with equal ids share line numbers, and so decisions. Other columns
@@ -205,12 +205,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = stash(places.groupBy("id").agg(first, F.count("*").alias("copies")))
     # segments of three characters at least; shorter lines are in a class only with equal ones
     links = stash(similar_lines(lines.where(F.length("line") >= 3 * (distance + 1)), distance))
+    linked = links.unionByName(near_copies.text_links(lines.select(F.col("id").alias("tid"), F.col("line").alias("text")))) if copies else links
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    parts = connected_components(links).withColumnRenamed("node", "id").join(degrees, "id")
-    named = distinct.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")).fillna(0, ["links"])
+    parts = connected_components(linked).withColumnRenamed("node", "id").join(degrees, "id", "left")
+    named = distinct.join(parts, "id", "left").withColumn("single", F.col("component").isNull())
+    named = named.withColumn("component", F.coalesce("component", "id")).fillna(0, ["links"])
     # lines that are alone need no further work
-    alone = named.where("copies = 1 AND links = 0")
-    several = stash(named.where("copies > 1 OR links > 0"))
+    alone = named.where("copies = 1 AND single")
+    several = stash(named.where("copies > 1 OR NOT single"))
     classes = several.groupBy("component").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_size"))
     several = stash(several.join(classes, "component").select("id", "class_first", "class_size", "links"))
     shared = places.join(several, "id").select(

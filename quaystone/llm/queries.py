@@ -43,7 +43,7 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(_table(spark, sf_dir, "documents"), min_chars=1)
+    return line_dedup.line_classes(_table(spark, sf_dir, "documents"), min_chars=1, copies=True)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
