@@ -8,7 +8,7 @@ every pseudonym has the format of what it replaces.
 
 Kinds, each validated before it is touched:
 
-* card:  13 to 19 digits with a correct Luhn digit. The first digit stays; the Luhn digit is made anew.
+* card:  13 to 19 digits with a correct Luhn digit, in whole groups of a longer run of digits too. The first digit stays; the Luhn digit is made anew.
 * iban:  correct modulus 97. The country stays; check digits are made anew; letters stay letters.
 * ssn:   a valid area, group and serial number, permuted within the valid ones.
 * phone: a country code with national digits, or a US number. The country code and all marks stay. A leading
@@ -27,10 +27,28 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _ibans() -> str:
+    """Numbers of their country's length first, so that a word behind them is not taken in; then any others."""
+    known = []
+    for n, codes in IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        known.append("(?:" + codes.replace(" ", "|") + ")[0-9]{2}(?: ?[A-Z0-9]{4}){" + str(fours) + "}" + (" ?[A-Z0-9]{" + str(rest) + "}" if rest else ""))
+    other = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+    return "(?<![A-Za-z0-9])(?:" + "|".join([*known, other]) + ")(?![A-Za-z0-9])"
+
+
 #: Earlier kinds win where two begin at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _ibans(),
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])"
     r"|(?<![0-9])\([2-9][0-9]{2}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -114,12 +132,18 @@ def _with_digits(shape: str, digits: str) -> str:
 
 
 def _card(m: str, key: str) -> tuple[str, str]:
-    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    # the longest valid run of whole groups: numbers before or behind a card can be in the match
+    part = f"substring({m}, -r.b, r.n)"
+    digits = f"regexp_replace({part}, '[^0-9]', '')"
+    begins = f"filter(sequence(1, length({m})), p -> p = 1 OR substring({m}, p - 1, 1) IN (' ', '-'))"
+    ends = f"filter(sequence(1, length({m})), q -> q = length({m}) OR substring({m}, q + 1, 1) IN (' ', '-'))"
+    runs = f"filter(flatten(transform({begins}, p -> transform({ends}, q -> named_struct('n', q - p + 1, 'b', -p)))), r -> r.n >= 13 AND length({digits}) BETWEEN 13 AND 19 AND {_luhn_sum(digits, 0)} % 10 = 0)"
     body = f"substring({digits}, 2, length({digits}) - 2)"
     new = f"concat(substring({digits}, 1, 1), {_permute_chars(body, _quote('card'), key)})"
     full = f"element_at(transform(array({new}), b -> concat(b, string(pmod(-({_luhn_sum('b', 1)}), 10)))), 1)"
-    valid = f"length({digits}) BETWEEN 13 AND 19 AND {_luhn_sum(digits, 0)} % 10 = 0"
-    return valid, f"element_at(transform(array({full}), f -> {_with_digits(m, 'f')}), 1)"
+    made = f"element_at(transform(array({full}), f -> {_with_digits(part, 'f')}), 1)"
+    whole = f"concat(substring({m}, 1, -r.b - 1), {made}, substring({m}, r.n - r.b))"
+    return f"size({runs}) > 0", f"element_at(transform(array(array_max({runs})), r -> {whole}), 1)"
 
 
 def _iban(m: str, key: str) -> tuple[str, str]:
