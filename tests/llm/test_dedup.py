@@ -50,8 +50,8 @@ def expected_exact(rows):
         groups.setdefault(k, []).append((i, t or ""))
     out = []
     for k, members in groups.items():
-        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
-        out += [(i, keep, len(members), i == keep, k) for i, _ in members]
+        at = min(range(len(members)), key=lambda m: (-len(members[m][1]), members[m][0] is None, members[m][0] or 0))
+        out += [(i, members[at][0], len(members), n == at, k) for n, (i, _) in enumerate(members)]
     return sorted(out, key=repr)
 
 
@@ -61,20 +61,33 @@ def test_exact_edges(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("max_bits", [1 << 16, 1 << 28])
-def test_exact_on_documents(spark, data, max_bits):
+def test_exact_rows_with_one_id(spark):
+    """Equal texts under one id: the longer original stays, of full ties one row."""
+    out = exact_dedup.exact_dedup(docs(spark, [(1, "a b"), (1, "a  b"), (2, "a  b"), (3, "c"), (3, "c"), (3, "c")])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out) == [(1, 1, 3, False), (1, 1, 3, True), (2, 1, 3, False), (3, 3, 3, False), (3, 3, 3, False), (3, 3, 3, True)]
+
+
+@pytest.mark.parametrize(("max_bits", "slice_rows"), [(256, 16), (1 << 28, 1 << 21)])
+def test_exact_on_documents(spark, data, max_bits, slice_rows):
+    """Also over many slices and filters."""
     table = spark.read.parquet(f"{data}/documents.parquet")
-    out = exact_dedup.exact_dedup(table, max_bits=max_bits)
+    out = exact_dedup.exact_dedup(table, max_bits=max_bits, slice_rows=slice_rows)
     assert sorted(map(tuple, out.collect()), key=repr) == expected_exact([(r.doc_id, r.text) for r in table.collect()])
 
 
 def test_bloom_passes_find_all_repeats(spark):
-    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
-    rows = keys + keys[:200] + [keys[7]] * 500
+    words = [int.from_bytes(hashlib.sha256(str(i).encode()).digest()[:8], "big", signed=True) for i in range(3000)]
+    rows = words + words[:200] + [words[7]] * 500
     random.Random(3).shuffle(rows)
-    df = spark.createDataFrame([(k,) for k in rows], "sha binary").repartition(7)
-    again = {bytes(r.sha) for r in exact_dedup.repeated_hashes(df, len(rows)).where("_again").collect()}
-    assert set(keys[:200]) <= again and len(again) < 400
+    df = spark.createDataFrame([(w,) for w in rows], "word bigint").repartition(7)
+    for slice_rows in (64, 1 << 20):
+        again = {r.word for r in exact_dedup.repeated_words(df, len(rows), slice_rows).collect()}
+        assert set(words[:200]) <= again and len(again) < 260
+    found = spark.createDataFrame([(w,) for w in words[:200]], "word bigint")
+    for max_bits in (600, 1 << 28):
+        tested = exact_dedup.may_repeat(df, found, max_bits)
+        let = {r.word for r in tested.where("_again").collect()}
+        assert set(words[:200]) <= let and len(let) < 300 and tested.count() == len(rows)
 
 
 def plain_print(text):
