@@ -1,12 +1,16 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
-Coarse centroids and the sub-quantisers' codebooks are fitted on a bounded sample. Every vector is indexed:
-it goes to the list of its nearest centroid, and its residual is written as one byte for each subspace. A
-query reads the ``probes`` nearest lists: asymmetric distance tables rank a list's codes, the best ``rerank``
-distinct vectors of each block are measured exactly, and the nearest over all blocks remain.
+Coarse centroids and the sub-quantisers' codebooks are fitted on a bounded sample; the number of lists follows
+the square root of the rows. The same sample tells how many lists a query has to read: as many as hold the asked
+share of its nearest rows, so tables with clusters read few lists and tables without any read many.
 
-Lists are cut into blocks of bounded size, queries into batches; a task holds one block and one batch. Equal
-vectors of a block count as one candidate, so copies cannot crowd out others.
+Every vector is indexed: it goes to the list of its nearest centroid, and its residual is written as one byte
+for each subspace. Neighbouring lists share a block of bounded size, a list that is larger is cut into several.
+A query is sent once to each block that holds one of its lists, whatever the number of lists there; asymmetric
+distance tables rank the codes of its lists, the best are measured exactly, and the nearest over all blocks remain.
+
+Equal vectors of a block count as one candidate, so copies cannot crowd out others; codes that tie with the last
+one to be measured are measured too, so a cluster too tight for the codes is searched exactly.
 """
 
 from __future__ import annotations
@@ -24,14 +28,18 @@ from pyspark.sql import functions as F
 from quaystone.llm._common import stash
 
 CODES = 256
+#: Queries that a scan ranks at a time.
+STEP = 64
 
 
 @dataclass
 class Index:
-    """centroids: lists x dims. books: subspaces x codes x dims of a subspace (padded with zeros)."""
+    """centroids: lists x dims, neighbours beside each other. books: subspaces x codes x dims of a subspace (padded
+    with zeros). probes: lists that a query reads."""
 
     centroids: np.ndarray
     books: np.ndarray
+    probes: int
 
     @property
     def dims(self) -> int:
@@ -41,10 +49,9 @@ class Index:
         m, _, width = self.books.shape
         return np.pad(x, ((0, 0), (0, m * width - x.shape[1]))).reshape(len(x), m, width)
 
-    def assign(self, x: np.ndarray, n: int = 1) -> np.ndarray:
-        """The n nearest lists of each vector, nearest first."""
-        d = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances to all centroids, less each vector's own length."""
+        return (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
 
     def encode(self, residuals: np.ndarray) -> np.ndarray:
         parts = self.split(residuals)
@@ -54,20 +61,22 @@ class Index:
         return out
 
     def tables(self, residuals: np.ndarray) -> np.ndarray:
-        """Asymmetric distances: queries x subspaces x codes."""
-        return ((self.split(residuals)[:, :, None, :] - self.books[None]) ** 2).sum(-1)
+        """Asymmetric distances: residuals x subspaces x codes."""
+        parts = self.split(residuals)
+        squares = (self.books**2).sum(2)
+        return (parts**2).sum(2)[:, :, None] + squares[None] - 2 * np.einsum("qmw,mcw->qmc", parts, self.books, optimize=True)
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     points = np.unique(x, axis=0)
     k = min(k, len(points))
-    centers = points[rng.choice(len(points), k, replace=False)].astype(np.float64)
+    centers = points[rng.choice(len(points), k, replace=False)].astype(np.float32)
+    x = x.astype(np.float32)
     for _ in range(rounds):
         near = ((centers**2).sum(1) - 2 * x @ centers.T).argmin(1)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, near, x)
-        counts = np.bincount(near, minlength=k)
-        centers = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
+        order = np.argsort(near, kind="stable")
+        filled, starts = np.unique(near[order], return_index=True)
+        centers[filled] = np.add.reduceat(x[order], starts, axis=0) / np.diff(np.append(starts, len(x)))[:, None]
     return centers
 
 
@@ -77,27 +86,52 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def fit(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", lists: int = 512, subspaces: int = 16, sample_rows: int = 16_384, seed: int = 7) -> Index | None:
-    """An index from the ``sample_rows`` usable vectors whose hashed id is smallest (that many reach the driver).
+def _clean(df: DataFrame, name: str, id_col: str, vec_col: str) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("bigint").alias(name), F.col(vec_col).alias("v"))
+    return rows.where(F.col(name).isNotNull() & usable(F.col("v")))
+
+
+def fit(
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", lists: int | None = None, subspaces: int = 16, sample_rows: int = 16_384, recall: float = 0.95, seed: int = 7
+) -> dict[int, Index]:
+    """An index for each length that usable vectors have (tables have one, or very few).
 
-    Vectors of another length than the sample's commonest are left out. None if there is no usable vector.
+    Each is fitted on the ``sample_rows`` vectors whose hashed id is smallest (that many reach the driver). There are
+    four times the square root of the rows in ``lists``, if none are given, and a sixteenth of the sample at most; a
+    query reads as many as hold the ``recall`` of the ten nearest rows of 256 rows of the sample. No usable
+    vector: no index.
     """
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
-    if not sample:
-        return None
-    lengths = np.array([len(r["v"]) for r in sample])
-    dims = int(np.bincount(lengths).argmax())
-    x = np.array([r["v"] for r, n in zip(sample, lengths, strict=True) if n == dims], float)
+    rows = _clean(vectors, "vec_id", id_col, vec_col)
+    counts = {r["n"]: r["count"] for r in rows.groupBy(F.size("v").alias("n")).count().collect()}
+    return {dims: _fit(rows.where(F.size("v") == dims), n, lists, subspaces, sample_rows, recall, seed) for dims, n in sorted(counts.items())}
+
+
+def _fit(rows: DataFrame, n: int, lists: int | None, subspaces: int, sample_rows: int, recall: float, seed: int) -> Index:
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()
+    x = np.array(sample["v"].tolist(), np.float64)
     rng = np.random.default_rng(seed)
-    centroids = _kmeans(x, lists, rng)
-    m = min(subspaces, dims)
-    index = Index(centroids, np.zeros((m, CODES, math.ceil(dims / m))))
-    parts = index.split(x - centroids[index.assign(x)[:, 0]])
+    lists = lists or max(16, min(math.ceil(4 * math.sqrt(n)), len(x) // 16))
+    centroids = _kmeans(x, lists, rng).astype(np.float64)
+    # along the direction in which they differ most, so that near lists get into one block
+    centroids = centroids[np.argsort(centroids @ np.linalg.svd(centroids - centroids.mean(0), full_matrices=False)[2][0], kind="stable")]
+    m = min(subspaces, x.shape[1])
+    index = Index(centroids, np.zeros((m, CODES, math.ceil(x.shape[1] / m))), len(centroids))
+    distances = index.distances(x)
+    nearest = distances.argmin(1)
+    parts = index.split(x - centroids[nearest])
     for j in range(m):
         book = _kmeans(parts[:, j], CODES, rng)
         index.books[j, : len(book)] = book
         index.books[j, len(book) :] = book[0]
+    some = min(256, len(x))
+    exact = (x**2).sum(1) - 2 * x[:some] @ x.T
+    exact[np.arange(some), np.arange(some)] = np.inf
+    found = np.argsort(exact, axis=1)[:, : min(10, len(x) - 1)]
+    if found.size:
+        # the place of each true neighbour's list in the query's order of lists
+        own = np.take_along_axis(distances[:some], nearest[found], 1)
+        place = np.sort((distances[:some, None, :] < own[:, :, None]).sum(2).ravel())
+        index.probes = int(place[min(len(place) - 1, math.ceil(recall * len(place)))]) + 1
     return index
 
 
@@ -108,91 +142,141 @@ def _bytes(x: np.ndarray) -> list[bytes]:
 def search(
     vectors: DataFrame,
     queries: DataFrame,
-    index: Index | None,
+    indexes: dict[int, Index],
     k: int = 10,
-    probes: int = 230,
+    probes: int | None = None,
     rerank: int = 64,
     block_rows: int = 16_384,
-    batch_rows: int = 2_048,
+    batch_rows: int = 16_384,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found, by Euclidean distance in double precision.
 
-    Ties go to the smaller vec_id. A query's own id is no candidate. Vectors that are null, empty, zero, of
-    another length than the index, or that hold null or non-finite components take no part, nor do null ids;
-    a query none of whose candidates are found has no rows. Other columns are ignored.
+    Ties go to the smaller vec_id. A query's own id is no candidate. Only vectors of a query's own length have a
+    distance to it. Of rows that share a vec_id the nearest counts; queries that share an id are one query with the
+    nearest of what each finds. Vectors that are null, empty, zero, or that hold null or non-finite components take no
+    part, nor do null ids, nor lengths that ``indexes`` lacks; a query none of whose candidates are found has no rows.
+    Other columns are ignored. No rows give no rows.
     """
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if index is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+    found = vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+    for dims, index in indexes.items():
+        v, q = (_clean(df, name, id_col, vec_col).where(F.size("v") == dims) for df, name in ((vectors, "vec_id"), (queries, "query_id")))
+        found = found.unionByName(_search(v, q, index, k, min(probes or index.probes, len(index.centroids)), rerank, block_rows, batch_rows))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(vectors: DataFrame, queries: DataFrame, index: Index, k: int, probes: int, rerank: int, block_rows: int, batch_rows: int) -> DataFrame:
     spark = vectors.sparkSession
     arrays = spark.sparkContext.broadcast((index.centroids, index.books))
-
-    def clean(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("bigint").alias(name), F.col(vec_col).alias("v"))
-        return rows.where(F.col(name).isNotNull() & usable(F.col("v")) & (F.size("v") == index.dims))
+    # vectors travel as they came: four bytes a component for floats, eight for all else
+    single = all(df.schema["v"].dataType.elementType.typeName() == "float" for df in (vectors, queries))
+    raw_type = np.dtype("<f4" if single else "<f8")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = Index(*arrays.value)
+        ix = Index(*arrays.value, probes)
         for pdf in batches:
             if len(pdf):
                 x = np.array(pdf["v"].tolist(), np.float64)
-                near = ix.assign(x)[:, 0]
-                codes = ix.encode(x - ix.centroids[near])
-                yield pd.DataFrame({"list": near.astype(np.int32), "vec_id": pdf["vec_id"], "codes": _bytes(codes), "raw": _bytes(x)})
+                near = ix.distances(x).argmin(1)
+                yield pd.DataFrame({"list": near.astype(np.int32), "vec_id": pdf["vec_id"], "codes": _bytes(ix.encode(x - ix.centroids[near])), "raw": _bytes(x.astype(raw_type))})
+
+    coded = stash(vectors.mapInPandas(encode, "list int, vec_id bigint, codes binary, raw binary"))
+    # blocks: neighbouring lists together up to block_rows, a larger list cut into as many blocks as it needs
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in coded.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    first, cut, blocks, room = [0] * len(sizes), [1] * len(sizes), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if n > room:
+            cut[i] = max(1, -(-n // block_rows))
+            blocks, room = blocks + cut[i], 0 if cut[i] > 1 else block_rows
+        first[i] = blocks - cut[i]
+        room -= min(n, room)
+    place = F.get(F.lit(first), F.col("list")) + F.pmod(F.xxhash64("vec_id"), F.get(F.lit(cut), F.col("list"))).cast("int")
+    placed = coded.withColumn("block", place)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = Index(*arrays.value)
+        ix = Index(*arrays.value, probes)
+        begin, parts = np.array(first), np.array(cut)
         for pdf in batches:
+            out: dict[str, list] = {"block": [], "query_id": [], "lists": [], "q": []}
             if len(pdf):
                 x = np.array(pdf["v"].tolist(), np.float64)
-                near = ix.assign(x, probes)
-                n = near.shape[1]
-                yield pd.DataFrame({"list": near.ravel().astype(np.int32), "query_id": np.repeat(pdf["query_id"].to_numpy(), n), "q": np.repeat(np.array(_bytes(x), object), n)})
-
-    coded = stash(clean(vectors, "vec_id").mapInPandas(encode, "list int, vec_id bigint, codes binary, raw binary"))
-    asked = stash(clean(queries, "query_id").mapInPandas(probe, "list int, query_id bigint, q binary"))
-
-    def per_list(df: DataFrame, most: int) -> Column:
-        counts = [1] * len(index.centroids)
-        for r in df.groupBy("list").count().collect():
-            counts[r["list"]] = -(-r["count"] // most)
-        return F.get(F.lit(counts), F.col("list"))
-
-    blocks, batches_ = per_list(coded, block_rows), per_list(asked, batch_rows)
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = coded.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("batch", every(batches_))
-    right = asked.withColumn("batch", F.pmod(F.xxhash64("query_id"), batches_).cast("int")).withColumn("block", every(blocks))
+                read = np.argpartition(ix.distances(x), probes - 1, axis=1)[:, :probes]
+                for i, raw, row in zip(pdf["query_id"], _bytes(x.astype(raw_type)), np.sort(read, axis=1), strict=True):
+                    row = row[sizes[row] > 0]
+                    # each list with each block that it is cut into, then the lists of one block together
+                    of = np.repeat(row, parts[row])
+                    at = np.concatenate([begin[c] + np.arange(parts[c]) for c in row]) if len(row) else row
+                    order = np.argsort(at, kind="stable")
+                    names, starts = np.unique(at[order], return_index=True)
+                    for b, lists in zip(names, np.split(of[order], starts[1:]), strict=True):
+                        out["block"].append(b)
+                        out["query_id"].append(i)
+                        out["lists"].append(lists.astype(np.int32).tobytes())
+                        out["q"].append(raw)
+            yield pd.DataFrame(out)
+
+    asked = stash(queries.mapInPandas(probe, "block int, query_id bigint, lists binary, q binary"))
+    counts = {r["block"]: r["count"] for r in asked.groupBy("block").count().collect()}
+    batches_ = F.get(F.lit([max(1, -(-counts.get(b, 0) // batch_rows)) for b in range(max(1, blocks))]), F.col("block"))
+    left = placed.withColumn("batch", F.explode(F.sequence(F.lit(0), batches_ - 1)))
+    right = asked.withColumn("batch", F.pmod(F.xxhash64("query_id"), batches_).cast("int"))
 
     def scan(vecs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(vecs) or not len(asks):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ix = Index(*arrays.value)
-        vecs = vecs.sort_values("vec_id", kind="stable")
+        ix = Index(*arrays.value, probes)
+        vecs = vecs.sort_values(["list", "vec_id"], kind="stable")
+        ids, raws = vecs["vec_id"].to_numpy(), vecs["raw"].to_numpy()
         # copies of one vector: one candidate, with its smallest ids
-        first: dict[bytes, list[int]] = {}
-        for i, raw in enumerate(vecs["raw"]):
-            if len(ids := first.setdefault(raw, [])) <= k:
-                ids.append(i)
-        ids, members = vecs["vec_id"].to_numpy(), list(first.values())
-        codes = np.frombuffer(b"".join(vecs["codes"].iloc[[m[0] for m in members]]), np.uint8).reshape(len(members), -1)
-        x = np.frombuffer(b"".join(first), np.float64).reshape(len(members), -1)
-        q = np.frombuffer(b"".join(asks["q"]), np.float64).reshape(len(asks), -1)
-        center = ix.centroids[int(vecs["list"].iloc[0])]
+        members: dict[bytes, list[int]] = {}
+        for i, raw in enumerate(raws):
+            if len(same := members.setdefault(raw, [])) <= k:
+                same.append(i)
+        heads = np.array([m[0] for m in members.values()])
+        more = {n: m for n, m in enumerate(members.values()) if len(m) > 1}
+        lists = vecs["list"].to_numpy()[heads]
+        codes = np.frombuffer(b"".join(vecs["codes"].iloc[heads]), np.uint8).reshape(len(heads), -1)
+        x = np.frombuffer(b"".join(members), raw_type).reshape(len(heads), -1).astype(np.float64)
+        named, starts = np.unique(lists, return_index=True)
+        ends = np.append(starts[1:], len(lists))
+        asked_ids = asks["query_id"].to_numpy()
+        q = np.frombuffer(b"".join(asks["q"]), raw_type).reshape(len(asks), -1).astype(np.float64)
+        reads = [np.frombuffer(b, np.int32) for b in asks["lists"]]
+        # |q - c - code|^2 = |q|^2 - 2 q.(c + code) + |c + code|^2: the last term belongs to a vector, the middle
+        # one is a table of the query by subspace and a product with its list's centroid
+        cells = ix.books[np.arange(codes.shape[1]), codes].reshape(len(codes), -1)[:, : ix.dims]
+        norms = ((ix.centroids[lists] + cells) ** 2).sum(1).astype(np.float32)
+        columns = [np.ascontiguousarray(c) for c in codes.T]
         out: list[tuple[int, int, float]] = []
-        spaces = np.arange(codes.shape[1])
-        for a, query in enumerate(asks["query_id"].to_numpy()):
-            table = ix.tables((q[a] - center)[None])[0]
-            guess = table[spaces, codes].sum(1)
-            near = np.argpartition(guess, rerank)[:rerank] if len(guess) > rerank else np.arange(len(guess))
-            score = np.sqrt(((x[near] - q[a]) ** 2).sum(1))
-            found = sorted((s, int(ids[i])) for s, n in zip(score.tolist(), near, strict=True) for i in members[n] if ids[i] != query)
-            out += [(int(query), v, s) for s, v in found[:k]]
+        for begin in range(0, len(q), STEP):
+            part = q[begin : begin + STEP]
+            tables = np.einsum("qmw,mcw->qmc", ix.split(part), ix.books, optimize=True).astype(np.float32)
+            to_lists = (part @ ix.centroids[named].T).astype(np.float32)
+            for a in range(len(part)):
+                wanted = np.flatnonzero(np.isin(named, reads[begin + a], assume_unique=True))
+                if not len(wanted):
+                    continue
+                spans = [slice(starts[w], ends[w]) for w in wanted]
+                at = np.concatenate([np.arange(s.start, s.stop) for s in spans])
+                dot = np.repeat(to_lists[a, wanted], ends[wanted] - starts[wanted])
+                table = tables[a]
+                for j, column in enumerate(columns):
+                    dot += table[j].take(column.take(at))
+                guess = norms.take(at) - 2 * dot
+                if len(guess) > rerank:
+                    at = at[guess <= np.partition(guess, rerank - 1)[rerank - 1]]
+                score = np.sqrt(((x[at] - part[a]) ** 2).sum(1))
+                query = int(asked_ids[begin + a])
+                # one more than k, as the query itself can be among them, and all that tie with the last
+                best = np.flatnonzero(score <= np.partition(score, k)[k]) if len(score) > k else np.arange(len(score))
+                found = sorted((float(score[b]), int(ids[i])) for b in best for i in more.get(int(at[b]), (heads[at[b]],)) if ids[i] != query)
+                out += [(query, v, s) for s, v in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    keys = ["list", "block", "batch"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    keys = ["block", "batch"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id bigint, vec_id bigint, score double")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,19 +33,51 @@ def test_ann_recall_and_order(spark):
     assert hits / (10 * len(found)) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [1e-3, 0.3])
+def test_ann_recall_with_a_tight_cluster(spark, spread):
+    """A third of all rows lies close together, in lists of thousands; another sixth is one vector."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12_000, 16)).astype(np.float32)
+    x[:4000] = rng.normal(size=16) + spread * rng.normal(size=(4000, 16))
+    x[4000:6000] = x[4000]
+    order = rng.permutation(len(x))
+    x = x[order]
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id bigint, embedding array<float>")
+    indexes = ann.fit(table, sample_rows=2048)
+    assert indexes[16].probes < len(indexes[16].centroids)
+    asked = table.where("vec_id % 100 = 0")
+    found = {}
+    for r in ann.search(table, asked, indexes, block_rows=2048).collect():
+        found.setdefault(r.query_id, []).append(r.score)
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+        tenth = np.partition(np.delete(d, q), 9)[9]
+        assert len(found[q]) == 10
+        hits += sum(s <= tenth for s in found[q])
+    assert hits / (10 * len(found)) >= 0.9
+
+
 def test_ann_edges(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 6)).round(3).tolist()
     rows = [(i, v) for i, v in enumerate(base)] + [(100 + i, base[3]) for i in range(60)]
-    rows += [(300, None), (301, [0.0] * 6), (302, [float("nan")] * 6), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (304, [float("inf")] * 6), (305, []), (306, [1.0, 2.0]), (None, base[0])]
-    table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, raw string")
+    rows += [(300, None), (301, [0.0] * 6), (302, [float("nan")] * 6), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (304, [float("inf")] * 6), (305, []), (None, base[0])]
+    short = [(310, [1.0, 2.0]), (311, [1.0, 4.0]), (312, [2.0, 2.0])]
+    again = [(5, base[7]), (5, base[8])]
+    table = spark.createDataFrame([(i, v, "x") for i, v in [*rows, *short, *again]], "vec_id bigint, embedding array<double>, raw string")
     index = ann.fit(table, lists=4, subspaces=4)
-    out = ann.search(table, table.where("vec_id IN (0, 3, 100, 300, 301)"), index, probes=4, block_rows=16, batch_rows=2).orderBy("query_id", "rank").collect()
-    x = {i: np.array(v) for i, v in rows if i is not None and i < 300}
+    out = ann.search(table, table.where("vec_id IN (0, 3, 100, 300, 301, 310)"), index, probes=4, block_rows=16, batch_rows=2).orderBy("query_id", "rank").collect()
+    x = [(i, np.array(v)) for i, v in [*rows, *again] if i is not None and i < 300]
     for q in (0, 3, 100):
-        best = sorted((float(np.sqrt(((x[q] - v) ** 2).sum())), i) for i, v in x.items() if i != q)[:10]
-        assert [(r.score, r.vec_id) for r in out if r.query_id == q] == best
-    assert {r.query_id for r in out} == {0, 3, 100}
+        at = dict(rows)[q]
+        least = {}
+        for i, v in x:
+            if i != q:
+                least[i] = min(least.get(i, np.inf), float(np.sqrt(((at - v) ** 2).sum())))
+        assert [(r.score, r.vec_id) for r in out if r.query_id == q] == sorted((s, i) for i, s in least.items())[:10]
+    assert [(r.score, r.vec_id, r["rank"]) for r in out if r.query_id == 310] == [(1.0, 312, 1), (2.0, 311, 2)]
+    assert {r.query_id for r in out} == {0, 3, 100, 310}
     assert ann.search(table, table, ann.fit(table.limit(0))).count() == 0
     few = table.where("vec_id < 4")
     assert ann.search(few, few, ann.fit(few), probes=500).count() == 12
