@@ -1,18 +1,20 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become classes (insult, threat, target, negation, report, intensifier, other). Small transducers read a
-clause's classes; each keeps its own state and multiplies or adds to the clause's weight:
+clause's classes and write the same classes with marks:
 
-* insult:   an insult starts a match with the word's weight; another one in the clause adds to it;
-* threat:   a threatening verb matches only when a target follows within a few words;
-* target:   an addressed person within a few words of an insult raises the match;
-* negation: a negation shortly before a match lowers it;
-* report:   a verb of speech or a quotation mark before a match lowers it to a mention.
+* target:   an insult or threat with an addressed person within a few words is marked as aimed, before or behind;
+* negation: one with a negation within a few words, on either side, is marked as denied;
+* report:   one with a verb of speech or a quotation mark anywhere in the clause is marked as reported;
+* strong:   an insult right behind an intensifier is marked as strong.
 
-Only matched clauses score, never words alone: a clause whose matches are denied or quoted scores little. The
-document's score is a logistic function of what its clauses sum to, their maximum and their density.
+Those that look at what comes before are composed into one machine that reads from the left, those that look at what
+comes behind into one that reads from the right; a clause runs through both, which is linear in its length. The
+insult and threat transducers then weigh what has been marked: an insult counts by the weight of its word, little
+unless it is aimed; a threat counts only if its target follows; denied and reported matches count little.
 
-The insult class is a seed list plus words learnt from labelled rows: those that mark toxic texts. Both the
+The document's score is a logistic function of what its clauses sum to, their maximum, their number and their
+density. The insult class is a seed list plus words learnt from labelled rows: those that mark toxic texts. Both the
 lexicon and the logistic weights are fitted on at most ``max_labels`` labelled rows.
 """
 
@@ -22,6 +24,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -31,7 +34,11 @@ from pyspark.sql import functions as F
 
 from quaystone.llm._common import stash
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, STRONG = range(1, 7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STRONG = range(7)
+CLASSES = 8
+#: Marks of a match; a symbol is a class plus CLASSES times its marks.
+AIMED_BEFORE, AIMED_BEHIND, DENIED, REPORTED, STRENGTHENED = (1 << i for i in range(5))
+SYMBOLS = CLASSES * 32
 
 SEED_WORDS = {
     INSULT: "idiot idiots moron morons stupid dumb scum loser losers pathetic worthless disgusting trash clown imbecile "
@@ -49,81 +56,119 @@ CLAUSE_END = re.compile(r"[.!?;\n]")
 REACH = 4  # words between a match and what changes it
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer: arcs[state][symbol] is the next state and the symbol that is written. State 0 is the start."""
+
+    arcs: tuple[tuple[tuple[int, int], ...], ...]
+
+    def run(self, symbols: list[int]) -> list[int]:
+        state, out, arcs = 0, [], self.arcs
+        for x in symbols:
+            state, y = arcs[state][x]
+            out.append(y)
+        return out
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one writes, the other one reads. Only states that can be reached."""
+        numbers, arcs, waiting = {(0, 0): 0}, [], [(0, 0)]
+        for a, b in waiting:
+            row = []
+            for x in range(SYMBOLS):
+                a2, y = self.arcs[a][x]
+                b2, z = other.arcs[b][y]
+                if (a2, b2) not in numbers:
+                    numbers[a2, b2] = len(waiting)
+                    waiting.append((a2, b2))
+                row.append((numbers[a2, b2], z))
+            arcs.append(tuple(row))
+        return Transducer(tuple(arcs))
+
+
+def marker(cause: int, matches: tuple[int, ...], mark: int, reach: int | None) -> Transducer:
+    """Marks symbols of the classes ``matches`` that come at most ``reach`` symbols behind one of class ``cause``; without reach, any that comes behind."""
+    far = 1 if reach is None else reach
+    arcs = []
+    # state 0: no cause within reach; state k: the cause lies k symbols back
+    for state in range(far + 1):
+        row = []
+        for x in range(SYMBOLS):
+            kind = x % CLASSES
+            onward = 0 if not state else state if reach is None else (state + 1) % (far + 1)
+            row.append((1 if kind == cause else onward, (x | CLASSES * mark) if state and kind in matches else x))
+        arcs.append(tuple(row))
+    return Transducer(tuple(arcs))
+
+
+MATCHES = (INSULT, THREAT)
+FROM_LEFT = (
+    marker(TARGET, MATCHES, AIMED_BEFORE, REACH), marker(NEGATION, MATCHES, DENIED, REACH), marker(REPORT, MATCHES, REPORTED, None), marker(STRONG, (INSULT,), STRENGTHENED, 1),
+)
+FROM_RIGHT = (marker(TARGET, MATCHES, AIMED_BEHIND, REACH), marker(NEGATION, MATCHES, DENIED, REACH), marker(REPORT, MATCHES, REPORTED, None))
+
+
 @dataclass
 class Grammar:
-    """Word classes, weights of insults, and the factors of the transducers."""
+    """Weights of insults, and the factors of marks. Both composed machines are made once."""
 
     insults: dict[str, float] = field(default_factory=dict)
-    target_factor: float = 1.5
+    aimed_factor: float = 1.5
+    unaimed_factor: float = 0.4
     strong_factor: float = 1.25
-    negated_factor: float = 0.25
+    denied_factor: float = 0.25
     reported_factor: float = 0.35
     threat_weight: float = 2.0
 
     def __post_init__(self) -> None:
         self.classes = {w: c for c, words in SEED_WORDS.items() for w in words.split()}
         self.classes |= dict.fromkeys(self.insults, INSULT)
+        self.classes |= dict.fromkeys("\"“”«»", REPORT)
+        self.left, self.right = (reduce(Transducer.then, machines) for machines in (FROM_LEFT, FROM_RIGHT))
+        self.weights = [self.weight(x) for x in range(SYMBOLS)]
         self._finder = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_finder": None}
 
+    def weight(self, symbol: int) -> float:
+        """What a marked symbol counts."""
+        kind, marks = symbol % CLASSES, symbol // CLASSES
+        if kind == INSULT:
+            out = (self.aimed_factor if marks & (AIMED_BEFORE | AIMED_BEHIND) else self.unaimed_factor) * (self.strong_factor if marks & STRENGTHENED else 1.0)
+        else:
+            out = self.threat_weight if kind == THREAT and marks & AIMED_BEHIND else 0.0
+        return out * (self.denied_factor if marks & DENIED else 1.0) * (self.reported_factor if marks & REPORTED else 1.0)
+
     def clause(self, words: list[str]) -> float:
-        """One pass: the product of the transducers' states at each match."""
-        matches: list[list] = []  # position, weight, whether a target has raised it
-        target = negated = strong = threat = -99
-        reported = False
-        for i, word in enumerate(words):
-            kind = self.classes.get(word, REPORT if word in "\"“”«»" else 0)
-            if kind == TARGET:
-                target = i
-                if i - threat <= REACH:
-                    denied = 0 <= threat - negated <= REACH
-                    matches.append([i, self.threat_weight * (self.negated_factor if denied else 1.0), True])
-                    threat = -99
-                for m in matches:
-                    if not m[2] and i - m[0] <= REACH:
-                        m[1:] = m[1] * self.target_factor, True
-            elif kind == NEGATION:
-                negated = i
-            elif kind == REPORT:
-                reported = True
-            elif kind == STRONG:
-                strong = i
-            elif kind == THREAT:
-                threat = i
-            elif kind == INSULT:
-                near = i - target <= REACH
-                weight = self.insults.get(word, 1.0) * (self.target_factor if near else 1.0)
-                weight *= self.strong_factor if i - strong == 1 else 1.0
-                weight *= self.negated_factor if i - negated <= REACH else 1.0
-                matches.append([i, weight, near])
-        return sum(w for _, w, _ in matches) * (self.reported_factor if reported else 1.0)
+        """What the matches of a clause count together."""
+        kinds = [self.classes.get(w, OTHER) for w in words]
+        marked = self.left.run(self.right.run(kinds[::-1])[::-1])
+        return sum(self.weights[x] * self.insults.get(w, 1.0) for w, x in zip(words, marked, strict=True) if self.weights[x])
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Of the whole text: log(1 + sum of clause scores), largest clause score, log(1 + matched clauses), these per hundred words."""
+        """Of the whole text: log(1 + sum of clause scores), largest clause score, log(1 + matched clauses), the sum for each word, with ten words more."""
         if not text:
             return 0.0, 0.0, 0.0, 0.0
         text = text.lower()
         if self._finder is None:
             self._finder = ahocorasick.Automaton()
             for w, c in self.classes.items():
-                if c in (INSULT, THREAT):
+                if c in MATCHES:
                     self._finder.add_word(w, len(w))
             self._finder.make_automaton()
         total = most = 0.0
-        matched, done = 0, -1
+        matched, done = 0, 0
         for end, size in self._finder.iter(text):
             start = end - size + 1
             if start < done or start and text[start - 1].isalpha() or end + 1 < len(text) and text[end + 1].isalpha():
                 continue
-            left = max(text.rfind(c, max(done, 0), start) for c in ".!?;\n") + 1
+            left = max(text.rfind(c, done, start) for c in ".!?;\n") + 1
             right = m.start() if (m := CLAUSE_END.search(text, end + 1)) else len(text)
-            score = self.clause(WORD.findall(text, max(left, done, 0), right))
+            score = self.clause(WORD.findall(text, max(left, done), right))
             done = right
             if score:
                 total, most, matched = total + score, max(most, score), matched + 1
-        return math.log1p(total), most, math.log1p(matched), 100.0 * matched / (1 + text.count(" ") + text.count("\n"))
+        return math.log1p(total), most, math.log1p(matched), 10.0 * total / (11 + text.count(" ") + text.count("\n"))
 
 
 @dataclass
@@ -147,7 +192,7 @@ class ToxicityModel:
         return score(text)
 
 
-DEFAULT_WEIGHTS = (-3.0, 2.0, 1.0, 0.5, 0.1)
+DEFAULT_WEIGHTS = (-3.0, 2.0, 1.0, 0.5, 0.5)
 
 
 def fit(
@@ -164,8 +209,8 @@ def fit(
 
     If there are more than ``max_labels`` labelled rows, those whose hashed id is smallest are used. A word is
     learnt if it occurs in at least ``min_share`` of the distinct toxic texts (three at least) and its log odds
-    reach ``min_log_odds``. At most 100 / min_share words of a text's length can reach the driver for each
-    toxic text; features of at most max_labels rows do. Labels that are null, and ids that have two labels,
+    reach ``min_log_odds``. So the words that reach the driver are at most 1 / min_share for each distinct word of a
+    toxic text of average length; features of at most max_labels rows do. Labels that are null, and ids that have two labels,
     are left out. Without labelled rows the seed lexicon and default weights remain.
     """
     labels = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -230,6 +275,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) for each row of docs; null and empty texts get the score of a text without matches.
 
-    Other columns are ignored. No rows give no rows.
+    Rows are scored one by one: repeated rows and rows with equal or null ids each have theirs. Time is linear in a text's
+    length. Other columns are ignored. No rows give no rows.
     """
     return docs.select(F.col(id_col).alias("doc_id"), model.column(F.col(text_col)).alias("score"))

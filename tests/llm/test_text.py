@@ -1,6 +1,8 @@
 """Pseudonyms, toxicity, language and url rules."""
 
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -95,11 +97,47 @@ def test_clause_grammar():
     score = lambda t: g.features(t)[1]
     assert score("the weather is nice") == 0 == score(None) == score("") and score("anidiotic") == 0
     assert score("you are an idiot") > score("an idiot walked by the lake today") > score("you are not an idiot") > 0
-    assert score('she said "you are an idiot"') < score("you are an idiot")
-    assert score("i will kill you") > 0 and score("i will kill time") == 0
+    assert score('she said "you are an idiot"') < score("you are an idiot") > score("you are an idiot, he wrote")
+    assert score("i will kill you") > 0 and score("i will kill time") == 0 == score("you may kill time")
+    assert score("i will not kill you") < score("i will kill you")
     assert score("you very idiot") > score("you idiot")
+    assert score("du bist ein idiot nicht") < score("du bist ein idiot") > score("idiot")
     assert g.features("you idiot. " * 50)[0] > g.features("you idiot.")[0]
     assert g.features("word " * 100_000 + "you idiot")[1] == score("you idiot")
+    plain = toxicity.ToxicityModel(g, toxicity.DEFAULT_WEIGHTS)
+    assert plain.score("idiot") < 0.5 < plain.score("you are an idiot")
+
+
+def test_grammar_equals_each_machine_on_its_own():
+    """The composed machines against marks that are looked up word by word."""
+    rng = random.Random(1)
+    g = toxicity.Grammar()
+    t = toxicity
+    for _ in range(400):
+        kinds = [rng.choice([0, 0, 0, t.INSULT, t.THREAT, t.TARGET, t.NEGATION, t.REPORT, t.STRONG]) for _ in range(rng.randrange(1, 25))]
+        total = 0.0
+        for i, k in enumerate(kinds):
+            before, behind = kinds[max(0, i - t.REACH) : i], kinds[i + 1 : i + 1 + t.REACH]
+            said = t.REPORT in kinds[:i] + kinds[i + 1 :]
+            w = {t.INSULT: 1.5 if t.TARGET in before + behind else 0.4, t.THREAT: 2.0 if t.TARGET in behind else 0.0}.get(k, 0.0)
+            w *= 1.25 if k == t.INSULT and kinds[i - 1 : i] == [t.STRONG] else 1.0
+            total += w * (0.25 if t.NEGATION in before + behind else 1.0) * (0.35 if said else 1.0)
+        words = ["", "idiot", "kill", "you", "not", "said", "very"]
+        assert g.clause([words[k] for k in kinds]) == pytest.approx(total)
+        # a composition is its machines one after the other
+        one = kinds
+        for machine in t.FROM_LEFT:
+            one = machine.run(one)
+        assert g.left.run(kinds) == one
+
+
+def test_time_is_linear_in_a_clause():
+    g, took = toxicity.Grammar(), []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        g.features("idiot you " * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
 
 
 def test_toxicity_learns_and_holds_out(spark, data):
@@ -125,14 +163,22 @@ def test_logistic_settles_on_separable_labels(noise):
     assert ((score >= 0.5) == (y == 1)).mean() > 0.96
 
 
-def test_toxicity_keeps_clean_documents_of_a_larger_table(spark):
-    """As many labels as the weights once diverged on; clean documents stay below the threshold."""
-    data = "/root/testdata/check_s"
-    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
-    model = toxicity.fit(docs, labels.where(~queries.held_out(5, 0)))
-    tried = docs.join(labels.where(queries.held_out(5, 0)), "doc_id").select("toxic", (model.column(F.col("text")) >= 0.5).cast("int").alias("hit"))
+def test_toxicity_keeps_clean_documents(spark):
+    """Thousands of made documents, a tenth of them toxic; clean ones that were held out stay below the threshold."""
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in "ba be bi bo bu da de di do du".split() for b in "ma me mi mo mu ra re ri ro ru".split()]
+    rows = []
+    for i in range(4000):
+        bad = i % 10 == 0
+        text = rng.choices(words, k=rng.randrange(20, 300))
+        for _ in range(2 + len(text) // 40 if bad else rng.random() < 0.02):
+            text.insert(rng.randrange(len(text)), rng.choice(["idiot", "moron", "you idiot", "stupid"]))
+        rows.append((i, " ".join(text) + ".", int(bad)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(table.select("doc_id", "text"), table.where("doc_id % 2 = 0 OR doc_id % 20 = 1").select("doc_id", "toxic"))
+    tried = table.withColumn("hit", (model.column(F.col("text")) >= 0.5).cast("int"))
     share = {r["toxic"]: r["share"] for r in tried.groupBy("toxic").agg(F.avg("hit").alias("share")).collect()}
-    assert share[0] <= 0.02 and share[1] >= 0.5
+    assert share[0] <= 0.02 and share[1] >= 0.9
 
 
 def test_toxicity_edges(spark):
