@@ -8,7 +8,6 @@ best is nearly as small the answer is rejected.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,6 @@ from pyspark.sql import functions as F
 
 from quaystone.llm._common import stash
 
-LETTER = re.compile(r"[^\W\d_]")
 BLOCK = 2048
 LEVEL = 3
 
@@ -45,7 +43,7 @@ class LanguageModel:
     @staticmethod
     def judge(text: str | None, packers: dict[str, zstandard.ZstdCompressor]) -> tuple[str, float, float]:
         """The language, a score from 0 to 1, and the margin: by how much the second best is larger, as a share."""
-        if not text or not packers or not LETTER.search(text):
+        if not text or not packers or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         data = text.encode("utf-8", "surrogatepass")
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
@@ -72,42 +70,50 @@ class LanguageModel:
 
 
 def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 100, dictionary_bytes: int = 1 << 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 100, dictionary_bytes: int = 1 << 16, piece: int = 512
 ) -> LanguageModel:
-    """Dictionaries from a bounded sample: the ``docs_per_lang`` texts of each language whose hashed id is smallest.
+    """Dictionaries from a bounded sample: pieces of the ``docs_per_lang`` texts of each language whose hash is smallest.
 
-    Texts of a quarter of ``dictionary_bytes`` or less come before longer ones, and go in shortest first while
-    they fit; a language whose sampled texts are all too long starts from part of one. Only ids are ranked; the
-    chosen texts are fetched by id. Rows with a null id, text or language, or without a letter, are left out.
+    The chosen texts, whatever their length, are cut whole into pieces of ``piece`` characters; those pieces whose hash is
+    smallest fill the language's dictionary, so long texts give more of it and no part of a text is preferred. Only
+    hashes are ranked; the chosen texts are fetched by them. At most ``dictionary_bytes`` for each language reach the
+    driver. Equal texts count once. Rows with a null text or language, or without a letter, are left out; ids are not looked at.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    sized = rows.withColumn("long", F.octet_length("text") > dictionary_bytes // 4)
-    order = W.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
-    ranked = sized.select("doc_id", "lang", F.row_number().over(order).alias("rank")).where(F.col("rank") <= docs_per_lang)
-    chosen = stash(ranked.select("doc_id", "lang").distinct())
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    order = W.partitionBy("lang").orderBy("h")
+    # equal hashes share a rank, so a text that fills the table takes one place
+    hashes = rows.groupBy("lang", "h").agg(F.count("*").alias("copies"))
+    chosen = stash(hashes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang).select("lang", "h"))
     # docs_per_lang rows for each language, as labels are few
-    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(piece))
+    pieces = texts.select("lang", F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(piece)))).alias("piece"))
+    best = W.partitionBy("lang").orderBy(F.xxhash64("piece"), "piece")
+    ranked = pieces.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= -(-dictionary_bytes // piece))
     found: dict[str, list[bytes]] = {}
-    for r in texts.select("lang", F.substring("text", 1, dictionary_bytes).alias("text")).toLocalIterator():
-        found.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass"))
+    for r in ranked.orderBy("lang", "rank").select("lang", "piece").toLocalIterator():
+        found.setdefault(r["lang"], []).append(r["piece"].encode("utf-8", "surrogatepass"))
     return LanguageModel({lang: _pack(parts, dictionary_bytes) for lang, parts in found.items()})
 
 
 def _pack(parts: list[bytes], most: int) -> bytes:
+    """The first pieces that fit, the first of all at the end, where it is nearest to what is compressed."""
     out, size = [], 0
-    for p in sorted(set(parts), key=lambda x: (len(x), x)):
+    for p in dict.fromkeys(parts):
         if size + len(p) + 1 <= most:
             out.append(p)
             size += len(p) + 1
-    return b"\n".join(out) or parts[0][:most]
+    return b"\n".join(reversed(out)) or parts[0][:most]
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0) -> DataFrame:
     """doc_id, lang_pred, score, margin for each row of docs.
 
-    lang_pred is ``und`` with score 0 for texts that are null or have no letter, for all texts if the model has
-    no language, and for margins below ``min_margin``. Equal sizes go to the first language by name.
+    lang_pred is ``und`` with score 0 for texts that are null or have no letter (of a Unicode class L), for all texts if
+    the model has no language, and for margins below ``min_margin``. Equal sizes go to the first language by name.
+    The whole of a text is judged, block by block. Repeated rows are judged one by one and alike; null ids stay. Other
+    columns are ignored. No rows give no rows.
     """
     judged = docs.select(F.col(id_col).alias("doc_id"), model.column(F.col(text_col), min_margin).alias("j"))
     return judged.select("doc_id", F.col("j.lang").alias("lang_pred"), "j.score", "j.margin")

@@ -199,16 +199,44 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in out) / len(out) > 0.93 and all(0 <= r.score <= 1 for r in out)
 
 
-def test_language_edges(spark):
+def language_model(spark):
     train = docs(spark, [(i, "the cat and the dog are in the house " * 3) for i in range(5)] + [(i, "der hund und die katze sind im haus " * 3) for i in range(5, 10)])
     train = train.withColumn("lang", F.when(F.col("doc_id") < 5, "en").otherwise("de"))
-    model = langid.fit(train)
-    rows = docs(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "the dog and the cat"), (5, "der hund und die katze"), (None, "the house " * 20000), (4, "the dog and the cat")])
+    return train, langid.fit(train)
+
+
+def test_language_edges(spark):
+    train, model = language_model(spark)
+    rows = docs(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "the dog and the cat"), (5, "der hund und die katze"), (None, "the house " * 20000), (4, "the dog and the cat"), (6, "½ ² Ⅷ _ ٣")])
     out = sorted((r.doc_id or 0, r.lang_pred) for r in langid.identify(rows, model).collect())
-    assert out == [(0, "en"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (5, "de")]
+    assert out == [(0, "en"), (1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (5, "de"), (6, "und")]
     assert {r.lang_pred for r in langid.identify(rows, model, min_margin=9.0).collect()} == {"und"}
     assert {r.lang_pred for r in langid.identify(rows, langid.LanguageModel({})).collect()} == {"und"}
     assert langid.fit(train.where("lang IS NULL")).dictionaries == {}
+    assert langid.identify(rows.limit(0), model).count() == 0
+    # a long text fills a dictionary from all of its parts; equal texts count once
+    long = " ".join(f"word{i}" for i in range(60_000))
+    made = langid.fit(train.limit(1).withColumn("text", F.lit(long)).unionByName(train)).dictionaries["en"]
+    assert len(made) <= 1 << 16 and made.count(b"word") > 1000 and b"word5" in made and max(map(int, re.findall(rb"word([0-9]+)", made))) > 50_000
+
+
+def test_language_is_the_smallest_of_plain_compressions(spark):
+    """Sizes done again by hand: each block with each dictionary, summed."""
+    import zstandard
+
+    _, model = language_model(spark)
+    rng = random.Random(4)
+    words = "the cat dog house and are in der hund die katze sind im haus und".split()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 900))) for _ in range(30)]
+    out = {r.doc_id: r for r in langid.identify(docs(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        sizes = {}
+        for lang, data in model.dictionaries.items():
+            params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=max(map(len, model.dictionaries.values())), source_size=langid.BLOCK, write_checksum=0, write_content_size=0, write_dict_id=0)
+            packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+            sizes[lang] = sum(len(packer.compress(t.encode()[k : k + langid.BLOCK])) for k in range(0, len(t.encode()), langid.BLOCK))
+        first, second = sorted(sizes, key=lambda x: (sizes[x], x))
+        assert out[i].lang_pred == first and out[i].margin == pytest.approx((sizes[second] - sizes[first]) / sizes[first])
 
 
 def plain_judge(url, rules):
