@@ -11,8 +11,9 @@ Kinds, each validated before it is touched:
 * card:  13 to 19 digits with a correct Luhn digit, in whole groups of a longer run of digits too. The first digit stays; the Luhn digit is made anew.
 * iban:  correct modulus 97. The country stays; check digits are made anew; letters stay letters.
 * ssn:   a valid area, group and serial number, permuted within the valid ones.
-* phone: a country code with national digits, or a US number. The country code and all marks stay. A leading
-         digit of area and exchange of 2 to 9 stays within 2 to 9.
+* phone: a country code with the number of national digits that it allows, or a number as the US, Germany, France, Spain or
+         Great Britain write it at home. The country code, the first national digit and all marks stay, in the
+         US also that an exchange begins with 2 to 9. A number is the same however it is grouped.
 * ipv4:  four octets, each from 0 to 255, as one vector.
 * email: letters and digits of the local part within their class; marks and the domain stay.
 * date:  year-month-day with - or /, day.month.year, of a real date from 1900 to 2099; permuted within these.
@@ -22,6 +23,9 @@ A match that fails validation stays as it is.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +49,39 @@ def _ibans() -> str:
     return "(?<![A-Za-z0-9])(?:" + "|".join([*known, other]) + ")(?![A-Za-z0-9])"
 
 
+#: Country codes of one and of two digits; all others have three.
+COUNTRY_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
+#: National digits by country code, where they are fixed or within narrow bounds; others have 6 to 12.
+NATIONAL_DIGITS = {"1": (10, 10), "7": (10, 10), "33": (9, 9), "34": (9, 9), "44": (9, 10), "49": (6, 11)}
+
+
+def _phones() -> str:
+    """With a country code, as many digits as it allows, in any groups; at home, the groups and marks that are usual there."""
+    mark = r"[ .\-/()]{0,2}"
+    bounds = [*((c, low, high) for c, (low, high) in NATIONAL_DIGITS.items()), (f"(?:{COUNTRY_CODES})", 6, 12)]
+    out = [rf"(?<![0-9+])\+{c}{mark}(?:\(0\) ?)?[1-9](?:{mark}[0-9]){{{low - 1},{high - 1}}}(?![0-9])" for c, low, high in bounds]
+    edge, end = r"(?<![0-9+(]|[0-9][ .\-/])", r"(?![0-9]|[ .\-/][0-9])"
+    # US: area, exchange, line; in brackets or with one mark throughout
+    out += [rf"(?<![0-9])\([2-9][0-9]{{2}}\) ?[0-9]{{3}}[ \-][0-9]{{4}}(?![0-9])", *(rf"{edge}[2-9][0-9]{{2}}{m}[0-9]{{3}}{m}[0-9]{{4}}{end}" for m in ("-", r"\.", " "))]
+    # area codes with their 0 in brackets (Great Britain, Germany), or before a slash, blank or hyphen (Germany, Great Britain)
+    out += [rf"(?<![0-9])\(0[1-9][0-9]{{1,4}}\) ?[0-9]{{3,8}}(?:[ \-][0-9]{{2,5}})?(?![0-9])", rf"{edge}0[1-9][0-9]{{1,4}}[ /\-][0-9]{{3,9}}(?:[ \-][0-9]{{2,5}})?{end}"]
+    # France: five pairs; Spain: nine digits from 6 on in threes, or three and then pairs
+    out += [rf"{edge}0[1-9](?:{m}[0-9]{{2}}){{4}}{end}" for m in (" ", r"\.", "-", "")]
+    out += [rf"{edge}[6-9][0-9]{{2}} [0-9]{{3}} [0-9]{{3}}{end}", rf"{edge}[6-9][0-9]{{2}}(?: [0-9]{{2}}){{3}}{end}"]
+    return "|".join(out)
+
+
+_DATES = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}"
 #: Earlier kinds win where two begin at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "iban": _ibans(),
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])"
-    r"|(?<![0-9])\([2-9][0-9]{2}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    "phone": _phones(),
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[\-/.][0-9])",
+    "date": rf"(?<![0-9\-/.])(?:{_DATES})(?![0-9]|[\-/.][0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    # a date behind a blank is not part of a card's run
+    "card": rf"(?<![0-9])[0-9](?:(?! (?:{_DATES})(?![0-9]))[ \-]?[0-9]){{12,18}}(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -78,6 +105,13 @@ def _feistel(vector: str, tweak: str, key: str) -> str:
     return f"transform({run}, e -> e.v)"
 
 
+def _feistel_any(vector: str, tweak: str, key: str) -> str:
+    """As _feistel, also for a vector of one element: its radix (10 or 26) is cut into 2 and a half, so that neither half is empty."""
+    two = f"array({_element('w[0].v % 2', '2')}, {_element('int(w[0].v / 2)', 'int(w[0].r / 2)')})"
+    alone = f"element_at(transform(array({_feistel(two, tweak, key)}), n -> array(n[1] * 2 + n[0])), 1)"
+    return f"element_at(transform(array({vector}), w -> CASE WHEN size(w) = 1 THEN {alone} ELSE {_feistel('w', tweak, key)} END), 1)"
+
+
 def _element(v: str, r: str) -> str:
     return f"named_struct('v', int({v}), 'r', int({r}))"
 
@@ -119,16 +153,19 @@ def _written(s: str, numbers: str) -> str:
 
 
 def _permute_chars(s: str, tweak: str, key: str) -> str:
-    return _written(s, _feistel(f"transform({_chars(s)}, c -> {_CHAR})", tweak, key))
+    """Only letters and digits are in the vector: marks neither move nor weigh in."""
+    inner = f"regexp_replace({s}, '[^0-9A-Za-z]', '')"
+    moved = f"element_at(transform(array({inner}), u -> {_written('u', _feistel_any(f'transform({_chars("u")}, c -> {_CHAR})', tweak, key))}), 1)"
+    return _with_signs(s, moved)
 
 
-def _with_digits(shape: str, digits: str) -> str:
-    """shape with its digits replaced by those of ``digits``, in order."""
+def _with_signs(shape: str, signs: str) -> str:
+    """shape with its letters and digits replaced by those of ``signs``, in order."""
     step = (
-        f"(a, c) -> CASE WHEN c BETWEEN '0' AND '9' THEN named_struct('o', concat(a.o, substring({digits}, a.k, 1)), 'k', a.k + 1) "
+        "(a, c) -> CASE WHEN c RLIKE '[0-9A-Za-z]' THEN named_struct('o', concat(a.o, substring(z, a.k, 1)), 'k', a.k + 1) "
         "ELSE named_struct('o', concat(a.o, c), 'k', a.k) END"
     )
-    return f"aggregate({_chars(shape)}, named_struct('o', '', 'k', 1), {step}, a -> a.o)"
+    return f"element_at(transform(array({signs}), z -> aggregate({_chars(shape)}, named_struct('o', '', 'k', 1), {step}, a -> a.o)), 1)"
 
 
 def _card(m: str, key: str) -> tuple[str, str]:
@@ -141,7 +178,7 @@ def _card(m: str, key: str) -> tuple[str, str]:
     body = f"substring({digits}, 2, length({digits}) - 2)"
     new = f"concat(substring({digits}, 1, 1), {_permute_chars(body, _quote('card'), key)})"
     full = f"element_at(transform(array({new}), b -> concat(b, string(pmod(-({_luhn_sum('b', 1)}), 10)))), 1)"
-    made = f"element_at(transform(array({full}), f -> {_with_digits(part, 'f')}), 1)"
+    made = _with_signs(part, full)
     whole = f"concat(substring({m}, 1, -r.b - 1), {made}, substring({m}, r.n - r.b))"
     return f"size({runs}) > 0", f"element_at(transform(array(array_max({runs})), r -> {whole}), 1)"
 
@@ -152,11 +189,7 @@ def _iban(m: str, key: str) -> tuple[str, str]:
     body = _permute_chars(f"substring({flat}, 5)", f"concat('iban', substring({flat}, 1, 2))", key)
     mod = _mod97(f"concat(b, substring({flat}, 1, 2), '00')")
     made = f"element_at(transform(array({body}), b -> concat(substring({flat}, 1, 2), lpad(string(98 - {mod}), 2, '0'), b)), 1)"
-    step = (
-        "(a, c) -> CASE WHEN c = ' ' THEN named_struct('o', concat(a.o, ' '), 'k', a.k) "
-        "ELSE named_struct('o', concat(a.o, substring(f, a.k, 1)), 'k', a.k + 1) END"
-    )
-    return valid, f"element_at(transform(array({made}), f -> aggregate({_chars(m)}, named_struct('o', '', 'k', 1), {step}, a -> a.o)), 1)"
+    return valid, _with_signs(m, made)
 
 
 def _ssn(m: str, key: str) -> tuple[str, str]:
@@ -170,17 +203,27 @@ def _ssn(m: str, key: str) -> tuple[str, str]:
 
 
 def _phone(m: str, key: str) -> tuple[str, str]:
-    code = f"regexp_extract({m}, r'^\\+[0-9]{{1,3}}(?=[ .\\-(])', 0)"
-    rest = f"substring({m}, length({code}) + 1)"
-    # a first digit of a group of digits within 2 to 9 stays so
-    lead = f"(k = 0 OR NOT element_at({_chars(rest)}, k) BETWEEN '0' AND '9')"
-    element = (
-        f"CASE WHEN c BETWEEN '2' AND '9' AND {lead} THEN {_element('ascii(c) - 50', '8')} WHEN c BETWEEN '0' AND '1' AND {lead} THEN {_element('ascii(c) - 48', '2')} "
-        f"ELSE {_CHAR} END"
-    )
-    numbers = _feistel(f"transform({_chars(rest)}, (c, k) -> {element})", f"concat('phone', {code})", key)
-    back = f"CASE WHEN NOT c BETWEEN '0' AND '9' THEN c WHEN c >= '2' AND {lead} THEN char(50 + n[k]) ELSE char(48 + n[k]) END"
-    return "true", f"concat({code}, element_at(transform(array({numbers}), n -> array_join(transform({_chars(rest)}, (c, k) -> {back}), '')), 1))"
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    abroad = f"startswith({m}, '+')"
+    # p: the code (none at home) and the national digits
+    code = f"CASE WHEN {abroad} THEN regexp_extract({digits}, '^(?:{COUNTRY_CODES})', 0) ELSE '' END"
+    split = f"element_at(transform(array({code}), x -> named_struct('c', x, 'd', substring({digits}, length(x) + 1))), 1)"
+    n = "length(regexp_replace(p.d, '^0', ''))"
+    bounds = " ".join(f"WHEN '{c}' THEN {n} BETWEEN {low} AND {high}" for c, (low, high) in NATIONAL_DIGITS.items())
+    us = "(p.c = '1' OR (p.c = '' AND length(p.d) = 10 AND NOT startswith(p.d, '0')))"
+    home = "length(p.d) BETWEEN 9 AND 12 AND NOT startswith(p.d, '00')"
+    good = f"CASE p.c {bounds} WHEN '' THEN {home} ELSE {n} BETWEEN 6 AND 12 END AND NOT ({us} AND substring(p.d, 1, 1) < '2')"
+    valid = f"exists(array({split}), p -> {good})"
+    # the first digit stays, with a 0 before it the next one too; the US exchange keeps to 2 to 9 or to 0 and 1
+    still = "CASE WHEN startswith(p.d, '0') THEN 2 ELSE 1 END"
+    lead = f"({us} AND k = 3 - {still})"
+    element = f"CASE WHEN {lead} AND c >= '2' THEN {_element('ascii(c) - 50', '8')} WHEN {lead} THEN {_element('ascii(c) - 48', '2')} ELSE {_element('ascii(c) - 48', '10')} END"
+    rest = f"substring(p.d, {still} + 1)"
+    area = f"concat('phone', CASE WHEN {us} THEN '1' ELSE p.c END, substring(p.d, 1, {still}))"
+    moved = _feistel(f"transform({_chars(rest)}, (c, k) -> {element})", area, key)
+    back = f"array_join(transform({_chars(rest)}, (c, k) -> CASE WHEN {lead} AND c >= '2' THEN char(50 + n[k]) ELSE char(48 + n[k]) END), '')"
+    made = f"element_at(transform(array({moved}), n -> concat(p.c, substring(p.d, 1, {still}), {back})), 1)"
+    return valid, _with_signs(m, f"element_at(transform(array({split}), p -> {made}), 1)")
 
 
 def _ipv4(m: str, key: str) -> tuple[str, str]:
@@ -220,14 +263,20 @@ def pseudonym_sql(match: str, key: str) -> str:
     return f"CASE {' '.join(cases)} ELSE named_struct('kind', cast(null AS string), 'value', {match}) END"
 
 
+def derived_key(key: str) -> str:
+    """The key of the rounds, from which the secret cannot be told."""
+    return hmac.new(key.encode(), b"feistel rounds", hashlib.sha256).hexdigest()
+
+
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, text with pseudonyms, found (a map from kind to how many were replaced).
 
-    ``key`` is the secret of the permutation; equal values get equal pseudonyms wherever the key is the same.
-    A null text stays null with an empty map; an empty one stays empty. Other columns are ignored. No
-    shuffle: rows are independent.
+    ``key`` is the secret of the permutation; equal values get equal pseudonyms wherever the key is the same. Plans and
+    event logs hold a key derived from it, not the secret. A null text stays null with an empty map; an empty one
+    stays empty. A very long text is read whole. Repeated rows and rows with equal or null ids are rewritten one by
+    one, and alike. Other columns are ignored. No rows give no rows. No shuffle: rows are independent.
     """
-    secret = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    secret = "'" + derived_key(key) + "'"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # every kind needs a digit or an @: most texts have neither and skip the costly pattern
     some = F.col("text").rlike("[0-9@]")

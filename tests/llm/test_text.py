@@ -74,24 +74,6 @@ def test_pseudonyms_are_permutations(spark, kind):
     assert len({r.text for r in out}) == n and all(r.found == {kind: 1} for r in out)
 
 
-def test_feistel_equals_plain_python(spark):
-    """The network, done again by hand."""
-    import hashlib
-
-    def feistel(values, radices, tweak, key):
-        h = len(values) // 2
-        x, y, rx, ry = values[:h], values[h:], radices[:h], radices[h:]
-        for i in range(1, pii.ROUNDS + 1):
-            seen = ",".join(map(str, y))
-            moved = [(v + int(hashlib.sha256("|".join([key, tweak, str(i), str(j), seen]).encode()).hexdigest()[:12], 16)) % rx[j] for j, v in enumerate(x)]
-            x, y, rx, ry = y, moved, ry, rx
-        return x + y
-
-    octets = [144, 35, 254, 1]
-    new = pii.pseudonymise(docs(spark, [(1, "144.35.254.1")]), "k").first().text
-    assert [int(x) for x in new.split(".")] == feistel(octets, [256] * 4, "ipv4", "k")
-
-
 def test_clause_grammar():
     g = toxicity.Grammar()
     score = lambda t: g.features(t)[1]
