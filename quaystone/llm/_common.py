@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +32,48 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_FOLDER: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder inside the shared one for all that is stashed meanwhile; it goes at the end, so write what is to stay elsewhere."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    token = _FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _FOLDER.reset(token)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back.
+    """Writes df as a table in the shared folder, or the run's own folder in it, and reads it back.
 
-    It cuts the lineage, survives lost executors, and gives the planner real sizes.
+    It cuts the lineage, survives lost executors, and gives the planner real sizes. Outside ``run_folder`` the table stays
+    until the shared folder is cleared, as a result may still be read from it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_FOLDER.get() or shared_dir(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def n_words(text: Column) -> Column:
     """The number of maximal runs without ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

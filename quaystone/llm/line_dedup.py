@@ -1,9 +1,11 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Every distinct line is cut into distance + 1 segments. Two lines within the edit distance share at least one
-segment of the shorter, at a place that the lengths allow; so segments are indexed by line length and
-number, and each line probes the substrings at those places (the narrow windows in which the edits before
-and behind a segment still fit). Pairs that meet are verified by a banded bit-parallel edit distance.
+The threshold follows the length: two edits, and one more for each 512 characters, eight at most. A line is cut into
+threshold + 1 segments. Two lines within the threshold of the shorter one share at least one of its segments, at a
+place that the lengths allow; so segments are indexed by line length and number, and each line probes the
+substrings at those places (the narrow windows in which the edits before and behind a segment still fit), for every
+length that could be its partner's. A substring's hash is a difference of two prefix hashes, so a signature costs the
+same whatever its length. Pairs that meet are verified by a banded bit-parallel edit distance.
 
 Before that, 64 parities of neighbouring characters, of which an edit flips few, rule out most pairs inside
 the join. A key on which very many lines meet is not paired at all. Its lines, without the segment that they
@@ -12,6 +14,8 @@ share, go through the same join once more among themselves, as the edits must li
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,50 +23,133 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.llm import bloom, near_copies
-from quaystone.llm._common import stash
+from quaystone.llm import bloom
+from quaystone.llm._common import fresh_name, stash
 from quaystone.llm.components import connected_components
 
 INDEX, PROBE = 1, 2
 LEVELS = 4
 #: Tasks over which the probes of a key are dealt on the last level, where all that meets is paired.
 SALTS = 16
+#: One edit more for so many characters, and the most edits of all (31 is what a band of 64 bits could hold).
+PER_EDIT, MOST_EDITS = 512, 8
+#: Characters that signatures are made of at a time, and ids that a task remembers as seen again.
+CHUNK, REMEMBERED = 1 << 20, 1 << 16
+
+BASE = 0x5851F42D4C957F2D
+
 
+def threshold(length, distance: int):
+    """Edits that lines of this length (of the shorter one of two) may differ by; for numbers, arrays and columns."""
+    most = max(distance, MOST_EDITS)
+    if isinstance(length, Column):
+        return F.least(F.lit(most), F.floor(length / PER_EDIT).cast("int") + distance)
+    return np.minimum(most, distance + np.asarray(length) // PER_EDIT)
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, line_no (from 0), id (hash of the trimmed line) and line, for lines of min_chars or more."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
-    rows = rows.where(F.col("doc_id").isNotNull()).withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")))
+
+def lines_of(docs: DataFrame, text_col: str, min_chars: int, *others: Column) -> DataFrame:
+    """line_no (from 0), id (hash of the trimmed line) and line, for lines of min_chars or more, beside other columns."""
+    rows = docs.select(*others, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")))
     return rows.where(F.length("line") >= min_chars).withColumn("id", F.xxhash64("line"))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Start (from 0) and size of segment i; the last ones are longer by one if the length doesn't divide."""
-    base = F.floor(length / parts).cast("int")
-    short = parts - length % parts
-    return base * i + F.greatest(F.lit(0), i - short), F.when(F.lit(i) < short, base).otherwise(base + 1)
+    base, short = length // parts, parts - length % parts
+    return base * i + np.maximum(0, i - short), base + (i >= short)
 
 
-def signatures(data: Column, length: Column, group: Column, distance: int) -> Column:
-    """All keys of a line: array of (key, at, size, role). ``group`` keeps lines of different groups apart.
+class _Hashes:
+    """Hashes of all substrings of some texts, from one pass over their characters."""
 
-    ``data`` is the line in UTF-32, so that a place in it is found without walking over its characters.
-    """
-    parts, out = distance + 1, []
+    def __init__(self, texts: list[str]) -> None:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes) + 1
+        powers, back = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n - 1, b, np.uint64)))) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(_mixed(codes + np.uint64(1)) * powers[:-1])))
+        self.back = back
+
+    def of(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[start + size] - self.sums[start]) * self.back[start]
 
-    def add(role: int, target: Column, i: int, shift: int) -> None:
-        start, size = _segment(target, i, parts)
-        at = (start + shift).cast("int")
-        key = F.xxhash64(group, target, F.lit(i), F.substring(data, at * 4 + 1, size * 4))
-        out.append(F.struct(key.alias("key"), at.alias("at"), size.cast("int").alias("size"), F.lit(role).alias("role")))
 
-    for i in range(parts):
-        for longer in range(distance + 1):
-            low, high = max(-i, longer - (distance - i)), min(i, longer + (distance - i))
-            for shift in range(low, high + 1):
-                # a line's own segment, unshifted, is both an index entry and the probe for lines of equal length
-                add(PROBE if longer or shift else INDEX | PROBE, length - longer, i, shift)
-    return F.array(*out)
+def signatures(texts: list[str], groups: np.ndarray, removed: np.ndarray, distance: int) -> tuple[np.ndarray, ...]:
+    """All signatures of texts as arrays: text number, key, place, size, role.
+
+    ``groups`` keeps texts of different groups apart. ``removed`` says how many characters a text has lost on earlier levels,
+    as the threshold belongs to the whole line.
+    """
+    hashes = _Hashes(texts)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    mixed_groups = _mixed(groups.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    most = int(threshold(int((lengths + removed).max()), distance))
+    for longer in range(most + 1):
+        target = lengths - longer
+        edits = np.where(target >= 1, threshold(np.maximum(target + removed, 0), distance), -1)
+        for t in np.unique(edits[edits >= longer]).tolist():
+            rows = np.flatnonzero(edits == t)
+            goal = target[rows]
+            for i in range(t + 1):
+                start, size = _segment(goal, i, t + 1)
+                name = mixed_groups[rows] + _mixed(goal.astype(np.uint64) * np.uint64(64) + np.uint64(i))
+                low, high = max(-i, longer - (t - i)), min(i, longer + (t - i))
+                for shift in range(low, high + 1):
+                    at = start + shift
+                    # a line's own segment, unshifted, is both an index entry and the probe for lines of equal length
+                    role = PROBE if longer or shift else INDEX | PROBE
+                    key = _mixed(hashes.of(begins[rows] + at, size) ^ name)
+                    for column, values in zip(out, (rows, key.view(np.int64), at, size, np.full(len(rows), role, np.int8)), strict=True):
+                        column.append(values)
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+
+
+def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows in order, cut before they hold more than CHUNK characters; a longer line is alone."""
+    if len(pdf):
+        part = np.cumsum(pdf["line"].str.len().to_numpy(np.int64)) // CHUNK
+        for k in np.unique(part):
+            yield pdf[part == k]
+
+
+def _keys(distance: int):
+    """key, id, grp, text, role of all signatures; a line that comes again is left out as far as a task remembers it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        again = np.zeros(0, np.int64)
+        for pdf in batches:
+            ids = _mixed(pdf["id"].to_numpy(np.int64).view(np.uint64) ^ _mixed(pdf["grp"].to_numpy(np.int64).view(np.uint64)) ^ pdf["text"].to_numpy(np.int64).view(np.uint64)).view(np.int64)
+            _, first, counts = np.unique(ids, return_index=True, return_counts=True)
+            fresh = ~np.isin(ids[first], again)
+            again = np.union1d(again, ids[first][(counts > 1) & fresh])[-REMEMBERED:]
+            for part in _chunks(pdf.iloc[np.sort(first[fresh])]):
+                rows, key, _, _, role = signatures(part["line"].tolist(), part["grp"].to_numpy(np.int64), part["removed"].to_numpy(np.int64), distance)
+                yield pd.DataFrame({"key": key, "role": role, **{c: part[c].to_numpy()[rows] for c in ("id", "grp", "text")}})
+
+    return run
+
+
+def _cut(distance: int):
+    """Lines that meet on hot keys, without the segments that they share there; the key is their group from then on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in _chunks(pdf):
+                lines, hot, removed = part["line"].tolist(), part["hot_key"].to_numpy(np.int64), part["removed"].to_numpy(np.int64)
+                rows, key, at, size, _ = signatures(lines, part["grp"].to_numpy(np.int64), removed, distance)
+                hit = np.flatnonzero(key == hot[rows])
+                shorter = [lines[r][:a] + "\0" + lines[r][a + s :] for r, a, s in zip(rows[hit].tolist(), at[hit].tolist(), size[hit].tolist(), strict=True)]
+                yield pd.DataFrame({"id": part["id"].to_numpy()[rows[hit]], "line": shorter, "grp": key[hit], "removed": (removed[rows[hit]] + size[hit] - 1).astype(np.int32)})
+
+    return run
 
 
 def _within(a: pd.Series, b: pd.Series, most: int) -> np.ndarray:
@@ -101,33 +188,43 @@ def _within(a: pd.Series, b: pd.Series, most: int) -> np.ndarray:
     return (np.abs(la - lb) <= most) & (dist <= most)
 
 
-def within_distance(distance: int):
+def within_threshold(distance: int):
+    """Whether two lines are within the threshold of the shorter one."""
+
     @F.pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.zeros(len(a), bool)
-        order = np.argsort(a.str.len().to_numpy(), kind="stable") if len(a) else []
-        for k in range(0, len(a), 1024):
-            part = order[k : k + 1024]
-            out[part] = _within(a.iloc[part], b.iloc[part], distance)
+        la, lb = a.str.len().to_numpy(np.int64), b.str.len().to_numpy(np.int64)
+        edits = threshold(np.minimum(la, lb), distance)
+        for most in np.unique(edits).tolist():
+            order = np.flatnonzero((edits == most) & (np.abs(la - lb) <= most))
+            order = order[np.argsort(la[order], kind="stable")]
+            k = 0
+            while k < len(order):
+                # as many pairs at a time as CHUNK characters hold, one at least
+                part = order[k : k + 1024]
+                part = part[: max(1, int(np.searchsorted(np.arange(1, len(part) + 1) * la[part], CHUNK)))]
+                out[part] = _within(a.iloc[part], b.iloc[part], most)
+                k += len(part)
         return pd.Series(out)
 
     return check
 
 
 def _meeting(items: DataFrame, distance: int, hot_pairs: int) -> DataFrame:
-    """id, grp, text, key, at, size, role, hot for keys on which an index entry and a probe of another line meet; one shuffle.
+    """id, grp, text, key, role, hot for keys on which an index entry and a probe of another line meet; one shuffle.
 
-    ``text`` tells apart what a line was shortened to, as ``at`` is a place in that.
+    ``text`` tells apart what a line was shortened to.
     """
-    wide = items.select("id", "grp", "text", F.encode("line", "UTF-32").alias("data"), F.length("line").alias("n"))
-    keys = wide.select("id", "grp", "text", F.explode(signatures(F.col("data"), F.col("n"), F.col("grp"), distance)).alias("s")).select("id", "grp", "text", "s.*")
-    keys = keys.repartition("key").groupBy("key", "id", "grp", "text", "at").agg(F.bit_or("role").alias("role"), F.min("size").alias("size"))
+    keys = items.mapInPandas(_keys(distance), "key bigint, role tinyint, id bigint, grp bigint, text bigint")
     on = W.partitionBy("key")
-    entries, probes = F.sum(F.col("role").bitwiseAND(F.lit(INDEX))).over(on), F.sum(F.shiftright("role", 1)).over(on)
-    keys = keys.withColumn("least", F.min("id").over(on)).withColumn("most", F.max("id").over(on))
-    keys = keys.withColumn("entries", entries).withColumn("probes", probes)
-    keys = keys.where("least < most AND entries > 0 AND probes > 0")
-    return keys.select("id", "grp", "text", "key", "at", "size", "role", (F.col("entries") * F.col("probes") > hot_pairs).alias("hot"))
+    least, most, roles = (f("id").over(on) for f in (F.min, F.max, lambda _: F.bit_or("role")))
+    met = keys.repartition("key").withColumn("least", least).withColumn("most", most).withColumn("roles", roles)
+    # few keys are left; only now repeats of a line are taken out and those that meet counted
+    met = stash(met.where(f"least < most AND roles = {INDEX | PROBE}").groupBy("key", "id", "grp", "text").agg(F.bit_or("role").alias("role")))
+    sizes = met.groupBy("key").agg(F.sum(F.col("role").bitwiseAND(F.lit(INDEX)).cast("bigint")).alias("entries"), F.sum(F.shiftright(F.col("role").cast("int"), 1).cast("bigint")).alias("probes"))
+    hot = stash(sizes.where(F.col("entries") * F.col("probes") > hot_pairs).select("key", F.lit(True).alias("hot")))
+    return met.join(hot, "key", "left").fillna(False, ["hot"])
 
 
 @F.pandas_udf(T.LongType())
@@ -142,9 +239,9 @@ def _pair_parity(texts: pd.Series) -> pd.Series:
 
 
 def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 26) -> DataFrame:
-    """Links a < b between ids of distinct lines (columns id, line) within the edit distance."""
+    """Links a < b between ids of lines (columns id, line, repeats do no harm) within the threshold of the shorter one."""
     zero = F.lit(0).cast("bigint")
-    items = lines.select("id", "line", zero.alias("grp"), zero.alias("text"))
+    items = lines.select("id", "line", zero.alias("grp"), zero.alias("text"), F.lit(0).alias("removed"))
     met = stash(_meeting(items, distance, hot_pairs))
     n = met.select(F.approx_count_distinct("id")).first()[0]
     if not n:
@@ -152,33 +249,33 @@ def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 26)
     # texts of lines that met: a filter drops most others before the shuffle, the join drops the rest
     ids = met.select("id").distinct()
     seen = bloom.build(ids, "id", n, 0.02, salt=3)
-    texts = lines.where(seen.contains(F.col("id"))).select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = stash(texts.withColumn("parity", _pair_parity("line")))
+    texts = lines.where(seen.contains(F.col("id"))).select("id", "line").groupBy("id").agg(F.first("line").alias("line")).join(ids, "id", "left_semi")
+    texts = stash(texts.withColumn("parity", _pair_parity("line")).withColumn("n", F.length("line")))
     pairs, level = _pairs(met.where("NOT hot"), texts, distance), 1
+    items = texts.select("id", "line", zero.alias("grp"), zero.alias("text"), F.lit(0).alias("removed"))
     while (hot := met.where("hot")).head(1):
-        rest = F.concat(F.expr("substring(line, 1, at)"), F.lit("\x00"), F.expr("substring(line, at + size + 1)"))
-        # each level cuts the text that its places refer to: the whole line first, then what the level before left of it
-        cut = hot.join(texts.select("id", "line"), "id") if level == 1 else hot.join(items, ["id", "grp", "text"])
-        items = cut.select("id", rest.alias("line"), F.col("key").alias("grp")).withColumn("text", F.xxhash64("line")).distinct()
-        items = stash(items)
+        # each level cuts what the level before left of a line, which is what its places refer to
+        cut = hot.select("id", "grp", "text", F.col("key").alias("hot_key")).join(items, ["id", "grp", "text"])
+        cut = cut.mapInPandas(_cut(distance), "id bigint, line string, grp bigint, removed int")
+        items = stash(cut.withColumn("text", F.xxhash64("line")).distinct())
         level += 1
         met = stash(_meeting(items, distance, hot_pairs if level < LEVELS else 1 << 62))
         pairs = pairs.unionByName(_pairs(met.where("NOT hot"), texts, distance, 1 if level < LEVELS else SALTS))
     pairs = stash(pairs.distinct())
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    near = within_distance(distance)(F.col("x"), F.col("y"))
-    return pairs.join(left, "a").join(right, "b").where(F.abs(F.length("x") - F.length("y")) <= distance).where(near).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(within_threshold(distance)(F.col("x"), F.col("y"))).select("a", "b")
 
 
 def _pairs(met: DataFrame, texts: DataFrame, distance: int, salts: int = 1) -> DataFrame:
-    """Pairs that meet on a key and whose parities do not rule them out; lines of near copies that differ in words stay apart here.
+    """Pairs that meet on a key and whose lengths and parities do not rule them out.
 
     With ``salts``, a key's probes are dealt over so many tasks, each of which gets all its entries.
     """
-    rows = met.select("key", "role", "id").join(texts.select("id", "parity"), "id")
-    index = rows.where(F.col("role").bitwiseAND(F.lit(INDEX)) > 0).select("key", F.col("id").alias("p"), F.col("parity").alias("u"))
-    probe = rows.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).select(F.col("key").alias("k"), F.col("id").alias("q"), F.col("parity").alias("v"))
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4 * distance
+    rows = met.select("key", "role", "id").join(texts.select("id", "parity", "n"), "id")
+    index = rows.where(F.col("role").bitwiseAND(F.lit(INDEX)) > 0).select("key", F.col("id").alias("p"), F.col("parity").alias("u"), F.col("n").alias("m"))
+    probe = rows.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).select(F.col("key").alias("k"), F.col("id").alias("q"), F.col("parity").alias("v"), F.col("n").alias("o"))
+    edits = threshold(F.least("m", "o"), distance)
+    near = (F.abs(F.col("m") - F.col("o")) <= edits) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4 * edits)
     on = F.col("key") == F.col("k")
     if salts > 1:
         index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -188,26 +285,16 @@ def _pairs(met: DataFrame, texts: DataFrame, distance: int, salts: int = 1) -> D
     return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, min_chars: int = 32, copies: bool = False) -> DataFrame:
-    """One row for each line of at least ``min_chars`` characters (trimmed of ASCII white space): doc_id, line_no,
-    class_doc_id, class_line_no, class_size, links, kept.
-
-    Lines are linked within ``distance`` edits (case and marks count) and, with ``copies``, if they have nine
-    words or more and share four fifths of their five-word shingles; a class is all lines reachable over links. It is named by its first line by doc_id and number, which alone is kept. class_size counts all
-    lines of the class with repeats, links the other distinct lines within the distance. Lines of fewer than
-    3 * (distance + 1) characters have no links and are in a class with equal ones. Null texts and rows
-    with a null id have no rows here. Rows with equal ids share line numbers, and so decisions. Other columns
-    are ignored. Distinct lines are told apart by a 64-bit hash.
-    """
-    lines = lines_of(docs, id_col, text_col, max(min_chars, 1))
-    places = stash(lines.select("id", "doc_id", "line_no"))
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
+def _classes(docs: DataFrame, row: Column, id_col: str, text_col: str, distance: int, min_chars: int) -> DataFrame:
+    """line_classes with the number of the row, ``row``, which tells rows with equal ids apart."""
+    lines = lines_of(docs, text_col, max(min_chars, 1), F.col(id_col).alias("doc_id"), row.alias("row"))
+    places = stash(lines.select("id", "doc_id", "row", "line_no"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")).alias("first")
     distinct = stash(places.groupBy("id").agg(first, F.count("*").alias("copies")))
     # segments of three characters at least; shorter lines are in a class only with equal ones
-    links = stash(similar_lines(lines.where(F.length("line") >= 3 * (distance + 1)), distance))
-    linked = links.unionByName(near_copies.text_links(lines.select(F.col("id").alias("tid"), F.col("line").alias("text")))) if copies else links
+    links = stash(similar_lines(lines_of(docs, text_col, 3 * (distance + 1)).select("id", "line"), distance))
     degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    parts = connected_components(linked).withColumnRenamed("node", "id").join(degrees, "id", "left")
+    parts = connected_components(links).withColumnRenamed("node", "id").join(degrees, "id", "left")
     named = distinct.join(parts, "id", "left").withColumn("single", F.col("component").isNull())
     named = named.withColumn("component", F.coalesce("component", "id")).fillna(0, ["links"])
     # lines that are alone need no further work
@@ -215,26 +302,42 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = stash(named.where("copies > 1 OR NOT single"))
     classes = several.groupBy("component").agg(F.min("first").alias("class_first"), F.sum("copies").alias("class_size"))
     several = stash(several.join(classes, "component").select("id", "class_first", "class_size", "links"))
-    shared = places.join(several, "id").select(
-        "doc_id", "line_no", F.col("class_first.doc_id").alias("class_doc_id"), F.col("class_first.line_no").alias("class_line_no"), "class_size", "links"
-    )
-    single = alone.select(
-        "first.doc_id", "first.line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), F.col("copies").alias("class_size"), "links"
-    )
-    same = (F.col("doc_id") == F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no"))
-    return shared.unionByName(single).withColumn("kept", same)
+    shared = places.join(several, "id").select("doc_id", "row", "line_no", "class_first", "class_size", "links")
+    single = alone.select("first.doc_id", "first.row", "first.line_no", F.col("first").alias("class_first"), F.col("copies").alias("class_size"), "links")
+    kept = (F.col("row") == F.col("class_first.row")) & (F.col("line_no") == F.col("class_first.line_no"))
+    return shared.unionByName(single).withColumn("kept", kept)
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, min_chars: int = 1) -> DataFrame:
+    """One row for each line of at least ``min_chars`` characters (trimmed of ASCII white space): doc_id, line_no,
+    class_doc_id, class_line_no, class_size, links, kept.
+
+    Lines are linked within ``distance`` edits (case and marks count), and one more for each 512 characters of the
+    shorter one, eight at most; a class is all lines reachable over links. It is named by its first line, by doc_id (a
+    null one last), the row's place in the table, and number, which alone is kept. class_size counts all lines of the
+    class with repeats, links the other distinct lines within the threshold. Lines of fewer than 3 * (distance + 1)
+    characters have no links and are in a class with equal ones. Null texts and blank lines have no rows. Rows with
+    equal ids are told apart. Other columns are ignored. No rows give no rows. Distinct lines are told apart by a
+    64-bit hash.
+    """
+    out = _classes(docs, F.monotonically_increasing_id(), id_col, text_col, distance, min_chars)
+    return out.select("doc_id", "line_no", F.col("class_first.doc_id").alias("class_doc_id"), F.col("class_first.line_no").alias("class_line_no"), "class_size", "links", "kept")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, min_chars: int = 1) -> DataFrame:
     """docs with near-duplicate lines removed from the text, all but the first of each class.
 
-    Rows whose text loses no line are unchanged, all columns included. A document of which only white space is
-    left goes. Rows with a null id or text are unchanged.
+    Rows whose text loses no line are unchanged, all columns included, whatever their names. A document of which only
+    white space is left goes. Rows with null ids come last in the order, rows with equal ids are told apart by their
+    place in the table; a null or blank text is unchanged.
     """
-    classes = line_classes(docs, id_col, text_col, **options)
-    gone = classes.where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(stash(gone), docs[id_col] == F.col("_doc"), "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn(text_col, text).where(F.col("_gone").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    row = fresh_name(docs, "row")
+    held = stash(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = _classes(held, F.col(row), id_col, text_col, distance, min_chars)
+    gone = classes.where(~F.col("kept")).groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(fresh_name(docs, "gone")))
+    gone_col = F.col(fresh_name(docs, "gone"))
+    joined = held.join(stash(gone), row, "left")
+    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(gone_col, i))
+    text = F.when(gone_col.isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    out = joined.withColumn(text_col, text).where(gone_col.isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*docs.columns)

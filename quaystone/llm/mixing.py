@@ -12,7 +12,8 @@ own order, seeded by md5; the prefix is as long as its tokens stay within what i
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -71,18 +72,25 @@ def mix(
     lang_col: str = "lang",
     source_col: str = "source",
     tokens: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, domain, lang, source, n_tokens, leaf_tokens, given, copies.
+    """One row for each row of docs: doc_id, domain, lang, source, n_tokens, leaf_tokens, given, copies, and ``carry``.
 
     ``domain`` is an expression over docs. ``weights`` maps domain, lang and source names to whole weights of 1
     or more; names left out weigh 1. The budget is ``budget_tokens``, or ``budget_share`` of all tokens.
     ``copies`` is how often a row is taken: 0 for none. Null domains, languages and sources form leaves named
-    ``(none)``; null texts have 0 tokens. Rows of one leaf with equal ids are ordered by tokens. Other columns
-    are ignored. Leaf tables are as long as there are sources; no leaf is ever held by one task.
+    ``(none)``; null texts have 0 tokens. Rows of one leaf with equal ids are ordered by tokens, then by ``carry``
+    (columns of docs that come along; their names must not be those of the result). Other columns are ignored. No
+    rows give no rows.
+
+    Leaf tables are as long as there are sources; no leaf's rows are ever held by one task. Siblings are ranked together:
+    one task holds the domains, one the languages of a domain, one the sources of a language, one row each, so the
+    names of one level under one node should number millions at most (hosts belong into ``source``).
     """
     named = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
+    kept = [F.col(c) for c in carry]
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+        *kept, F.col(id_col).alias("doc_id"),
         named(domain).alias("domain"),
         named(F.col(lang_col)).alias("lang"),
         named(F.col(source_col)).alias("source"),
@@ -92,7 +100,8 @@ def mix(
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("leaf_tokens")).withColumn("cap", F.col("leaf_tokens") * max_epochs)
     leaves = stash(leaves)
     if budget_tokens is None:
-        budget_tokens = int((leaves.agg(F.sum("leaf_tokens")).first()[0] or 0) * budget_share)
+        share = Fraction(str(budget_share))
+        budget_tokens = (leaves.agg(F.sum("leaf_tokens")).first()[0] or 0) * share.numerator // share.denominator
     plan = allocate(leaves, weights, budget_tokens)
     plan = plan.withColumn("passes", F.expr("CASE WHEN leaf_tokens = 0 THEN 0 ELSE int(given div leaf_tokens) END"))
     plan = stash(plan.withColumn("rest", F.col("given") - F.col("passes") * F.col("leaf_tokens")).drop("cap"))
@@ -107,8 +116,8 @@ def mix(
     rows = rows.join(sums, [*leaf, "slice"])
     # only the slice in which a leaf's prefix ends needs an order of its rows
     inside = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("in_slice") > F.col("rest"))
-    running = F.sum("n_tokens").over(W.partitionBy(*leaf, "slice").orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
+    running = F.sum("n_tokens").over(W.partitionBy(*leaf, "slice").orderBy("key", "doc_id", "n_tokens", *carry).rowsBetween(W.unboundedPreceding, 0))
     cut = rows.where(inside).withColumn("more", (F.col("before") + running <= F.col("rest")).cast("int"))
     rest = rows.where(~inside).withColumn("more", (F.col("before") + F.col("in_slice") <= F.col("rest")).cast("int"))
     both = cut.unionByName(rest)
-    return both.select("doc_id", *LEVELS, "n_tokens", "leaf_tokens", "given", (F.col("passes") + F.col("more")).cast("int").alias("copies"))
+    return both.select(*carry, "doc_id", *LEVELS, "n_tokens", "leaf_tokens", "given", (F.col("passes") + F.col("more")).cast("int").alias("copies"))

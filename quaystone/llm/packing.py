@@ -7,6 +7,7 @@ padded tokens stay within a budget.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,16 +16,6 @@ from pyspark.sql import functions as F
 
 from quaystone.llm._common import n_words
 
-#: Lengths up to this are exact in the histogram; longer ones are rounded up to 1/2048 of themselves or finer,
-#: so the histogram has at most EXACT + 2048 rows for each doubling beyond.
-EXACT = 1 << 16
-
-
-def binned(length: Column) -> Column:
-    """The length as the histogram has it."""
-    step = F.pow(F.lit(2), F.floor(F.log2(F.greatest(length, F.lit(1)))) - 11).cast("bigint")
-    return F.when(length <= EXACT, length).otherwise((((length + step - 1) / step).cast("bigint")) * step)
-
 
 def best_boundaries(histogram: Sequence[tuple[int, int]], buckets: int) -> list[int]:
     """Upper boundaries (inclusive) of at most ``buckets`` buckets with the least total padding.
@@ -88,26 +79,30 @@ def pack(
 
     Tokens are runs without white space unless ``tokens`` says otherwise; null and empty texts have 0. A batch
     holds ``token_budget`` // bucket_max rows at most, one at least, so a document longer than the budget is
-    alone in its batch. A bucket of many rows is cut by hashed id into slices of about ``slice_rows``; batches
-    form inside slices, so no task holds a whole bucket, at the cost of one partly filled batch in each.
-    ``batch`` reads bucket-slice-number. Rows with equal ids are packed one by one; ties are in any order.
-    Other columns are ignored. No rows give no rows.
+    alone in its batch. A bucket of many rows is cut by a hash of id and text into slices of about ``slice_rows``;
+    batches form inside slices, so no task holds a whole bucket, at the cost of one partly filled batch in each.
+    ``batch`` reads bucket-slice-number. Rows with null or equal ids are packed one by one, apart from one another if
+    their texts differ; ties are in any order. Other columns are ignored. No rows give no rows.
+
+    The histogram that reaches the driver has a row for each length that occurs: not more than the square root of twice
+    the corpus's tokens, and as a rule some ten thousands.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), (n_words(F.col(text_col)) if tokens is None else tokens).alias("n_tokens"))
-    histogram = rows.groupBy(binned(F.col("n_tokens")).alias("x")).count().collect()
+    mark = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")))))
+    hashed = F.conv(F.substring(mark, 1, 8), 16, 10).cast("bigint")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (n_words(F.col(text_col)) if tokens is None else tokens).alias("n_tokens"), hashed.alias("hashed"))
+    histogram = rows.groupBy(F.col("n_tokens").alias("x")).count().collect()
     bounds = best_boundaries([(r["x"], r["count"]) for r in histogram], buckets)
     if not bounds:
         empty = {"bucket": F.lit(0), "bucket_max": F.lit(0).cast("bigint"), "batch": F.lit(""), "padding": F.lit(0).cast("bigint")}
-        return rows.withColumns(empty)
+        return rows.drop("hashed").withColumns(empty)
     filled = [0] * len(bounds)
     for r in histogram:
-        filled[next(i for i, b in enumerate(bounds) if r["x"] <= b)] += r["count"]
+        filled[bisect_left(bounds, r["x"])] += r["count"]
     top = F.lit(bounds)
-    bucket = F.size(F.filter(top, lambda b: b < binned(F.col("n_tokens"))))
+    bucket = F.size(F.filter(top, lambda b: b < F.col("n_tokens")))
     rows = rows.withColumn("bucket", bucket).withColumn("bucket_max", F.get(top, F.col("bucket")).cast("bigint"))
     slices = F.get(F.lit([max(1, -(-c // slice_rows)) for c in filled]), F.col("bucket"))
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
-    rows = rows.withColumn("slice", F.pmod(hashed, slices).cast("int"))
+    rows = rows.withColumn("slice", F.pmod("hashed", slices).cast("int"))
     place = F.row_number().over(W.partitionBy("bucket", "slice").orderBy("doc_id", "n_tokens")) - 1
     room = F.greatest(F.lit(1), (F.lit(token_budget) / F.greatest("bucket_max", F.lit(1))).cast("int"))
     batch = F.concat_ws("-", F.col("bucket").cast("string"), F.col("slice").cast("string"), (place / room).cast("int").cast("string"))

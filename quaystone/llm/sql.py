@@ -50,10 +50,8 @@ plan AS (SELECT *, CASE WHEN leaf_tokens = 0 THEN 0 ELSE given // leaf_tokens EN
 r AS (SELECT d.*, p.leaf_tokens, p.given, p.passes, sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('mix:' || p.passes::BIGINT || ':' || d.doc_id), d.doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS run FROM d JOIN plan p USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, given::BIGINT AS given, CAST(passes + CASE WHEN run <= given - passes * leaf_tokens THEN 1 ELSE 0 END AS INTEGER) AS copies FROM r"""
 
-#: The whole dynamic programme: layer by layer, then back from the last bucket. Lengths above 65,536 are binned as
-#: the operator does it.
-PACK = f"""WITH RECURSIVE d AS (SELECT doc_id, CAST({TOKENS} AS BIGINT) AS n_tokens FROM documents),
-z AS (SELECT *, CASE WHEN n_tokens <= 65536 THEN n_tokens ELSE ((n_tokens + step - 1) // step) * step END AS x FROM (SELECT *, CAST(pow(2, floor(log2(greatest(n_tokens, 1))) - 11) AS BIGINT) AS step FROM d)),
+#: The whole dynamic programme: layer by layer, then back from the last bucket.
+PACK = f"""WITH RECURSIVE z AS (SELECT doc_id, CAST({TOKENS} AS BIGINT) AS n_tokens, n_tokens AS x, md5(doc_id || ':' || md5(coalesce(text, ''))) AS mark FROM documents),
 h AS (SELECT x, row_number() OVER (ORDER BY x) AS j, sum(count(*)) OVER (ORDER BY x)::BIGINT AS c, sum(x * count(*)) OVER (ORDER BY x)::BIGINT AS t FROM z GROUP BY x),
 p AS (SELECT 0::BIGINT AS j, 0::BIGINT AS x, 0::BIGINT AS c, 0::BIGINT AS t UNION ALL SELECT j, x, c, t FROM h),
 dp AS (SELECT 0 AS k, 0::BIGINT AS j, 0::BIGINT AS cost, 0::BIGINT AS i UNION ALL
@@ -61,9 +59,9 @@ dp AS (SELECT 0 AS k, 0::BIGINT AS j, 0::BIGINT AS cost, 0::BIGINT AS i UNION AL
 last AS (SELECT least(16, max(j)) AS k, max(j) AS j FROM h),
 back AS (SELECT k, j FROM last UNION ALL SELECT back.k - 1, dp.i FROM back JOIN dp ON dp.k = back.k AND dp.j = back.j WHERE back.k > 1),
 bounds AS (SELECT CAST(row_number() OVER (ORDER BY x) - 1 AS INTEGER) AS bucket, x AS bucket_max FROM back JOIN h USING (j)),
-a AS (SELECT doc_id, n_tokens, (SELECT min(bucket) FROM bounds WHERE bucket_max >= z.x) AS bucket FROM z),
+a AS (SELECT doc_id, n_tokens, mark, (SELECT min(bucket) FROM bounds WHERE bucket_max >= z.x) AS bucket FROM z),
 m AS (SELECT a.*, bucket_max, greatest(1, -(-(count(*) OVER (PARTITION BY bucket)) // 8192)) AS slices FROM a JOIN bounds USING (bucket)),
-s AS (SELECT *, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % slices AS INTEGER) AS slice FROM m)
+s AS (SELECT *, CAST(('0x' || substr(mark, 1, 8))::BIGINT % slices AS INTEGER) AS slice FROM m)
 SELECT doc_id, n_tokens, bucket, bucket_max, bucket || '-' || slice || '-' || ((row_number() OVER (PARTITION BY bucket, slice ORDER BY doc_id, n_tokens) - 1) // greatest(1, 65536 // greatest(bucket_max, 1))) AS batch, bucket_max - n_tokens AS padding FROM s"""
 
 SQL: dict[str, str] = {"op3_url_filter": URLS, "op6_packing": PACK, "op7_mixing": MIX, "op10_exact_dedup": EXACT}

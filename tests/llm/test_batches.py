@@ -189,29 +189,3 @@ def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", "s1", 10), ("a", "x", "s2", 500), ("a", "y", "s3", 500), ("b", "x", "s4", 500)], leaf)
     given = {r.source: r.given for r in mixing.allocate(leaves, {}, 400).collect()}
     assert given == {"s1": 10, "s2": 90, "s3": 100, "s4": 200}
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-    from quaystone.llm.line_dedup import line_classes
-    from quaystone.llm.simhash import simhash_groups
-
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    columns, kept = docs.columns, []
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(i)))
-        after = spark.read.parquet(str(tmp_path / str(i)))
-        kept.append((name, docs.count(), after.count()))
-        if i < 4:
-            assert after.columns == columns and after.join(docs, "doc_id", "left_anti").count() == 0
-        if name == "toxicity":
-            labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-            clean = docs.join(labels.where("toxic = 0"), "doc_id", "left_semi")
-            assert clean.join(after, "doc_id", "left_anti").count() <= 0.02 * clean.count()
-        if name == "line_dedup":
-            assert line_classes(after).where("NOT kept").count() == 0
-        if name == "simhash":
-            groups = simhash_groups(docs)
-            assert {r.doc_id for r in after.collect()} == {r.component_id for r in groups.collect()}
-        docs = after
-    assert all(a >= b for _, a, b in kept) and kept[-1][1] == kept[-1][2] and docs.count() > 500

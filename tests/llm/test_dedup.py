@@ -186,14 +186,19 @@ def test_similar_lines(spark, hot_pairs):
     assert found == {(i, j) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= 2}
 
 
-def expected_classes(rows, most=2, least=32):
-    places = [(d, n, x.strip(" \t\r\x0b\x0c")) for d, t in rows if d is not None and t is not None for n, x in enumerate(t.split("\n"))]
+def edits(a, b):
+    return min(8, 2 + min(len(a), len(b)) // 512)
+
+
+def expected_classes(rows, least=1):
+    """rows in the order of the table."""
+    places = [((d is None, d or 0, r), n, x.strip(" \t\r\x0b\x0c")) for r, (d, t) in enumerate(rows) if t is not None for n, x in enumerate(t.split("\n"))]
     places = [p for p in places if len(p[2]) >= least]
     lines = sorted({p[2] for p in places})
     parent, links = {x: x for x in lines}, dict.fromkeys(lines, 0)
     for j, b in enumerate(lines):
         for a in lines[:j]:
-            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+            if min(len(a), len(b)) >= 9 and abs(len(a) - len(b)) <= edits(a, b) and distance(a, b) <= edits(a, b):
                 links[a] += 1
                 links[b] += 1
                 parent[find(parent, b)] = find(parent, a)
@@ -203,27 +208,53 @@ def expected_classes(rows, most=2, least=32):
     out = []
     for group in members.values():
         first = min(group)[:2]
-        out += [(d, n, *first, len(group), links[x], (d, n) == first) for d, n, x in group]
-    return sorted(out)
+        named = rows[first[0][2]][0]
+        out += [(rows[d[2]][0], n, named, first[1], len(group), links[x], (d, n) == first) for d, n, x in group]
+    return sorted(out, key=repr)
 
 
 def test_line_classes(spark):
+    """Lines of every length from one character on, null ids, rows that repeat."""
     rng = random.Random(2)
     lines = line_rows(rng, 40)
-    rows = [(i, "\n".join([*rng.sample(lines, 4), "short", "  " + lines[0] + "\r"])) for i in range(1, 30)] + [(40, None), (41, ""), (None, lines[0]), (42, "\n\n")]
-    out = line_dedup.line_classes(docs(spark, rows))
-    assert sorted(map(tuple, out.collect())) == expected_classes(rows)
+    short = ["".join(rng.choice("ab") for _ in range(n)) for n in range(1, 33)]
+    rows = [(i, "\n".join([*rng.sample(lines, 4), *rng.sample(short, 2), "short", "  " + lines[0] + "\r"])) for i in range(1, 30)] + [(40, None), (41, ""), (None, lines[0]), (42, "\n\n")]
+    rows += [(5, rows[4][1]), (5, rows[4][1] + "\na line that the other row of this id lacks"), (None, "nobody else has this line"), (None, "nobody else has this linE")]
+    out = line_dedup.line_classes(docs(spark, rows).coalesce(1))
+    assert sorted(map(tuple, out.collect()), key=repr) == expected_classes(rows)
     assert line_dedup.line_classes(docs(spark, [])).count() == 0
 
 
+def test_threshold_follows_the_length(spark):
+    """One to eight edits in lines of 300 to 1600 characters, and one too many."""
+    rng = random.Random(12)
+    lines = []
+    for n in (300, 511, 512, 1030, 1600):
+        base = "".join(rng.choice("abcdefghij klm") for _ in range(n))
+        most = min(8, 2 + n // 512)
+        for k in (1, most, most + 1, most + 4):
+            x = list(base)
+            for at in sorted(rng.sample(range(0, n - 2, 3), k), reverse=True):
+                x[at : at + 1] = rng.choice([["X"], ["X", base[at]], []])
+            lines.append("".join(x))
+        lines.append(base)
+    table = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")
+    expected = {(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if abs(len(a) - len(b)) <= edits(a, b) and distance(a, b) <= edits(a, b)}
+    for hot_pairs in (1, 1 << 26):
+        assert {tuple(r) for r in line_dedup.similar_lines(table, 2, hot_pairs).collect()} == expected
+    assert len(expected) >= 8
+
+
 def test_dedup_lines_keeps_first_and_clean(spark):
     a, b = "this line is long enough to be looked at, one", "this line is long enough to be looked at, two!"
     assert distance(a, a + "!") == 1
-    rows = [(1, f"{a}\nkeep me"), (2, f"short\n{a}!\n{b}"), (3, a), (4, "clean text that nobody else has in this table"), (5, None), (None, a), (6, "")]
-    out = {r.doc_id: (r.text, r.sha, r.component) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
-    assert out == {
-        1: (f"{a}\nkeep me", b"x", "y"), 2: (f"short\n{b}", b"x", "y"), 4: (rows[3][1], b"x", "y"), 5: (None, b"x", "y"), None: (a, b"x", "y"), 6: ("", b"x", "y"),
-    }
+    rows = [(1, f"{a}\nkeep me"), (2, f"short\n{a}!\n{b}"), (3, a), (4, "clean text that nobody else has in this table"), (5, None), (None, a), (6, ""), (None, "the only one"), (2, f"{b}\nof the same id")]
+    table = docs(spark, rows).withColumn("_row", F.lit(1)).withColumn("gone", F.lit(2)).coalesce(1)
+    out = line_dedup.dedup_lines(table)
+    assert out.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(
+        [(1, f"{a}\nkeep me"), (2, f"short\n{b}"), (4, rows[3][1]), (5, None), (6, ""), (None, "the only one"), (2, "of the same id")], key=repr
+    )
 
 
 def test_hot_line_is_one_class(spark):

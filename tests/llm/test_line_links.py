@@ -1,4 +1,4 @@
-"""Line links that were once left out: shared segments on several levels, short lines, copies with words changed."""
+"""Line links that were once left out: shared segments on several levels, short lines."""
 
 import random
 
@@ -8,7 +8,6 @@ import pytest
 from quaystone.llm import line_dedup
 
 from test_dedup import distance
-from test_near_copies import WORDS, changed, expected
 
 
 def template_lines(rng):
@@ -25,7 +24,7 @@ def template_lines(rng):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot_pairs", [1, 30])
+@pytest.mark.parametrize("hot_pairs", [1, 2, 3, 30])
 def test_hot_levels_lose_no_link(spark, hot_pairs):
     lines = template_lines(random.Random(4))
     table = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")
@@ -38,14 +37,3 @@ def test_short_lines_are_grouped(spark):
     rows = [(1, "Un.\nAll rights\n\nonce", 0), (2, " Un.\nAll right\n \t", 0), (3, "Um.\nUn.", 0)]
     out = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"), "")
     assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 3: "Um."}
-
-
-def test_all_line_copies_are_found(spark):
-    """One to three words changed in lines of 40 to 150 words: every pair with a similarity of 0.8 is in one class."""
-    rng = random.Random(6)
-    lines = [" ".join(rng.choices(WORDS, k=rng.randrange(40, 150))) for _ in range(30)]
-    lines += [changed(rng, x, rng.randrange(1, 4)) for x in lines]
-    rows = [(i, x) for i, x in enumerate(lines)]
-    out = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), min_chars=1, copies=True)
-    got = sorted((r.doc_id, r.class_doc_id) for r in out.collect())
-    assert got == sorted(expected(rows)) and len({c for _, c in got}) < 50
