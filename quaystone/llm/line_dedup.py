@@ -28,7 +28,7 @@ from quaystone.llm._common import fresh_name, stash
 from quaystone.llm.components import connected_components
 
 INDEX, PROBE = 1, 2
-LEVELS = 4
+LEVELS = 8
 #: Tasks over which the probes of a key are dealt on the last level, where all that meets is paired.
 SALTS = 16
 #: One edit more for so many characters, and the most edits of all (31 is what a band of 64 bits could hold).
@@ -238,7 +238,7 @@ def _pair_parity(texts: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64))
 
 
-def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 26) -> DataFrame:
+def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 12) -> DataFrame:
     """Links a < b between ids of lines (columns id, line, repeats do no harm) within the threshold of the shorter one."""
     zero = F.lit(0).cast("bigint")
     items = lines.select("id", "line", zero.alias("grp"), zero.alias("text"), F.lit(0).alias("removed"))
