@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of 32-bit FNV-1a.
 FNV_OFFSET = 2166136261
@@ -78,8 +81,29 @@ def encrypted_size(plain: Column, chunk: int = 64 << 10, overhead: int = 16, hea
     return (plain + F.ceil(plain / chunk) * overhead + header).cast("bigint")
 
 
+@F.pandas_udf(T.BinaryType())
+def _crc32c(data: pd.Series) -> pd.Series:
+    """CRC-32C (reflected polynomial 0x82F63B78), big-endian bytes; Spark has no expression for it."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0x82F63B78), table >> 1)
+    steps = table.tolist()
+
+    def one(b: bytes | None) -> bytes | None:
+        if b is None:
+            return None
+        crc = 0xFFFFFFFF
+        for x in bytes(b):
+            crc = steps[(crc ^ x) & 255] ^ crc >> 8
+        return (crc ^ 0xFFFFFFFF).to_bytes(4, "big")
+
+    return pd.Series([one(b) for b in data])
+
+
 def checksum(kind: str, data: Column) -> Column:
-    """Base64 of crc32, sha1 or sha256 over the bytes, as upload headers carry it."""
+    """Base64 of crc32, crc32c, sha1 or sha256 over the bytes, as upload headers carry it."""
+    if kind == "crc32c":
+        return F.base64(_crc32c(data.cast("binary")))
     if kind == "crc32":
         return F.base64(F.unhex(F.lpad(F.hex(F.crc32(data)), 8, "0")))
     return F.base64(F.unhex(F.sha1(data) if kind == "sha1" else F.sha2(data, 256)))

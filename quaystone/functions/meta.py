@@ -28,10 +28,20 @@ COMPRESSED_TYPES = (
 )
 
 
+def last_map(entries: Column) -> Column:
+    """A map from array<struct<key, value>>; of entries with one key the last one stays."""
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def lower_names(m: Column) -> Column:
+    """A map with its keys in lower case; where two become one the last stays."""
+    return last_map(F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
 def user_metadata(headers: Column) -> Column:
     """Only user headers, without their prefix, names in lower case."""
-    lower = F.transform_keys(headers, lambda k, _: F.lower(k))
-    own = F.map_filter(lower, lambda k, _: F.startswith(k, F.lit(USER_PREFIX)))
+    own = F.map_filter(lower_names(headers), lambda k, _: F.startswith(k, F.lit(USER_PREFIX)))
     return F.transform_keys(own, lambda k, _: F.substring(k, len(USER_PREFIX) + 1, 1 << 20))
 
 
@@ -93,10 +103,10 @@ def verifiable_etag(etag: Column, sse: Column, compressed: Column) -> Column:
 
 
 def tags(text: Column) -> Column:
-    """k1=v1&k2=v2 as a map, unescaped."""
+    """k1=v1&k2=v2 as a map, unescaped; of a name that comes again the last value stays."""
     pairs = F.filter(F.split(F.coalesce(text, F.lit("")), "&"), lambda p: p != "")
     part = lambda p, i: F.coalesce(F.try_url_decode(F.coalesce(F.get(F.split(p, "=", 2), F.lit(i)), F.lit(""))), F.lit(""))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(part(p, 0), part(p, 1))))
+    return last_map(F.transform(pairs, lambda p: F.struct(part(p, 0).alias("key"), part(p, 1).alias("value"))))
 
 
 def tag_text(m: Column) -> Column:

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quaystone.functions.meta import USER_PREFIX
+from quaystone.functions.meta import USER_PREFIX, lower_names
 from quaystone.functions.requests import is_mutating
 
 
@@ -22,7 +22,7 @@ def data_location(bucket: Column, key: Column, data_ref: Column) -> Column:
 
 def stored_metadata(options: Column) -> Column:
     """Upload options split into struct<content_type, content_encoding, user>."""
-    lower = F.transform_keys(options, lambda k, _: F.lower(k))
+    lower = lower_names(options)
     user = F.map_filter(lower, lambda k, _: ~k.isin("content-type", "content-encoding"))
     get = lambda k: F.try_element_at(lower, F.lit(k))
     return F.struct(get("content-type").alias("content_type"), get("content-encoding").alias("content_encoding"), user.alias("user"))

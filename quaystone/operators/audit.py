@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaystone.operators.fold import ordered_fold
+
 
 def entry_hash(prev: Column, body: Column) -> Column:
     return F.sha2(F.concat(prev, body), 256)
@@ -14,18 +19,20 @@ def entry_hash(prev: Column, body: Column) -> Column:
 def build(entries: DataFrame, chain: str = "chain", seq: str = "seq", body: str = "body") -> DataFrame:
     """prev_hash and hash for every entry, folded in order inside each chain.
 
-    A chain is sequential by nature: its entries are gathered in one row, so chains should be cut (by day and
-    node, say) before they outgrow a task.
+    A chain is sequential by nature, but it is not held: its entries stream through one task in order, and only the
+    last hash stays. Cut chains (by day and node, say) where one task's time is too long.
     """
-    rows = entries.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(seq, body))).alias("e"))
-    start = F.array().cast("array<struct<seq:bigint,prev_hash:string,hash:string>>")
+    kind = dict(entries.dtypes)[chain]
 
-    def step(done: Column, e: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(F.transform(done, lambda d: d["hash"]), F.lit(-1)), F.lit(""))
-        return F.concat(done, F.array(F.struct(e[seq].cast("bigint").alias("seq"), prev.alias("prev_hash"), entry_hash(prev, e[body]).alias("hash"))))
+    def step(_: tuple, last: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
+        last, before, after = last or "", [], []
+        for text in rows[body]:
+            before.append(last)
+            last = hashlib.sha256((last + text).encode()).hexdigest()
+            after.append(last)
+        return last, pd.DataFrame({chain: rows[chain], seq: rows[seq], "prev_hash": before, "hash": after})
 
-    folded = rows.select(chain, F.explode(F.aggregate("e", start, step)).alias("h"))
-    return folded.select(chain, F.col("h.seq").alias(seq), "h.prev_hash", "h.hash")
+    return ordered_fold(entries.select(chain, F.col(seq).cast("bigint").alias(seq), body), [chain], [seq], f"{chain} {kind}, {seq} bigint, prev_hash string, hash string", step)
 
 
 def verify(entries: DataFrame, chain: str = "chain", seq: str = "seq", body: str = "body") -> DataFrame:

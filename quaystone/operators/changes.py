@@ -5,28 +5,30 @@ Each is a join on the key that rewrites matched rows, so a batch of any size is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.functions.meta import copied_metadata
 from quaystone.functions.requests import append_outcome
 from quaystone.operators import multipart, snapshot, versions
-from quaystone.sources.sinks import put_objects
+from quaystone.sources.sinks import last_of_each, put_objects
 
 KEY = ["bucket", "key"]
 
 
-def _rewrite(table: DataFrame, requests: DataFrame, keys: list[str], **new: Column) -> DataFrame:
-    """Rows that a request names get new values; ``new`` may use the request's columns as r.name."""
-    r = requests.alias("r")
+def _rewrite(table: DataFrame, requests: DataFrame, keys: list[str], order: Sequence[str] = (), **new: Column) -> DataFrame:
+    """Rows that a request names get new values; ``new`` may use the request's columns as r.name. The last request of a key counts."""
+    r = last_of_each(requests, keys, *order).alias("r")
     hit = F.col("r." + keys[0]).isNotNull()
     out = table.alias("t").join(r, [F.col(f"t.{k}") == F.col(f"r.{k}") for k in keys], "left")
     return out.select(*[(F.when(hit, new[c]).otherwise(F.col(f"t.{c}")) if c in new else F.col(f"t.{c}")).alias(c) for c in table.columns])
 
 
-def set_tags(objects: DataFrame, requests: DataFrame, now: str) -> DataFrame:
+def set_tags(objects: DataFrame, requests: DataFrame, now: str, *order: str) -> DataFrame:
     """requests: bucket, key, tags (null deletes them). Also refreshes mod_time, as the store does."""
-    return _rewrite(objects, requests, KEY, user_tags=F.col("r.tags"), mod_time=F.lit(now).cast("timestamp_ntz"))
+    return _rewrite(objects, requests, KEY, order, user_tags=F.col("r.tags"), mod_time=F.lit(now).cast("timestamp_ntz"))
 
 
 def set_retention(log: DataFrame, requests: DataFrame, now: str) -> DataFrame:
@@ -34,13 +36,15 @@ def set_retention(log: DataFrame, requests: DataFrame, now: str) -> DataFrame:
     ok = versions.retention_allowed(F.col("t.lock_mode"), F.col("t.retain_until"), F.col("r.mode"), F.col("r.until"), F.col("r.bypass"), F.lit(now).cast("timestamp_ntz"))
     ok = F.coalesce(ok, F.lit(True))
     return _rewrite(
-        log, requests, [*KEY, "version_id"],
+        log, requests, [*KEY, "version_id"], (),
         lock_mode=F.when(ok, F.col("r.mode")).otherwise(F.col("t.lock_mode")), retain_until=F.when(ok, F.col("r.until")).otherwise(F.col("t.retain_until")),
     )
 
 
-def copy_objects(objects: DataFrame, requests: DataFrame, now: str) -> DataFrame:
-    """requests: bucket, key (the source), to_bucket, to_key, directive, user_meta. Missing sources copy nothing."""
+def copy_objects(objects: DataFrame, requests: DataFrame, now: str, *order: str) -> DataFrame:
+    """requests: bucket, key (the source), to_bucket, to_key, directive, user_meta. Missing sources copy nothing; of several
+    copies to one key the last by ``order`` stays (else by the source's name)."""
+    requests = last_of_each(requests, ["to_bucket", "to_key"], *(order or KEY))
     r = requests.withColumnRenamed("user_meta", "new_meta")
     found = objects.join(r, KEY)
     made = found.withColumn("user_meta", copied_metadata(F.col("directive"), F.col("user_meta"), F.col("new_meta"))).withColumn("mod_time", F.lit(now).cast("timestamp_ntz"))
@@ -63,7 +67,46 @@ def complete_upload(objects: DataFrame, uploads: DataFrame, parts: DataFrame, re
     good = checked.groupBy("upload_id").agg(F.bool_and(F.col("outcome") == "ok").alias("ok")).where("ok").select("upload_id")
     wanted = parts.join(request.select("upload_id", "part_number"), ["upload_id", "part_number"], "left_semi").join(good, "upload_id", "left_semi")
     made = multipart.complete(wanted).join(uploads, "upload_id").withColumn("mod_time", F.lit(now).cast("timestamp_ntz"))
-    return put_objects(objects, made.select(*[c for c in objects.columns if c in made.columns]))
+    return put_objects(objects, made.select(*[c for c in objects.columns if c in made.columns], "upload_id"), "upload_id")
+
+
+def new_uploads(uploads: DataFrame, requests: DataFrame, now: str) -> DataFrame:
+    """Uploads after a batch of new ones (bucket, key, nonce): each gets an id of its own from what asks for it."""
+    made = requests.select(*KEY, F.sha2(F.concat_ws("/", *KEY, F.col("nonce").cast("string"), F.lit(now)), 256).alias("upload_id"), F.lit(now).cast("timestamp_ntz").alias("initiated"))
+    return uploads.withColumn("upload_id", F.col("upload_id").cast("string")).unionByName(made, allowMissingColumns=True)
+
+
+def put_parts(parts: DataFrame, uploads: DataFrame, requests: DataFrame, *order: str) -> DataFrame:
+    """Parts after a batch of part uploads; those of unknown uploads are refused, a number that comes again replaces its part."""
+    made = requests.join(uploads.select("upload_id").distinct(), "upload_id", "left_semi")
+    made = last_of_each(made, ["upload_id", "part_number"], *order)
+    names = ["upload_id", "part_number"]
+    kept = parts.join(made.select(*names), names, "left_anti").select(*parts.columns)
+    return kept.unionByName(made.select(*[c for c in parts.columns if c in made.columns]), allowMissingColumns=True)
+
+
+def copy_parts(parts: DataFrame, uploads: DataFrame, objects: DataFrame, requests: DataFrame) -> DataFrame:
+    """As put_parts, each part a byte range (start, length; null for all) of an object's content. Missing sources copy nothing."""
+    found = requests.join(objects.select(*KEY, "content"), KEY)
+    start = F.coalesce("start", F.lit(0)).cast("int")
+    piece = F.substring(F.col("content"), start + 1, F.coalesce("length", F.octet_length("content") - start).cast("int"))
+    made = found.withColumn("content", piece).withColumn("size", F.octet_length("content").cast("bigint")).withColumn("etag", F.md5("content"))
+    return put_parts(parts, uploads, made.select("upload_id", "part_number", "size", "etag"), "etag")
+
+
+def tiered_content(objects: DataFrame, remote: DataFrame) -> DataFrame:
+    """The bytes of a read with a range (start, length; null for all): from the tier that an object names (remote: tier,
+    tier_key, content), else its own; null if the tier lacks them."""
+    far = remote.select("tier", "tier_key", F.col("content").alias("_far"))
+    rows = objects.join(far, ["tier", "tier_key"], "left")
+    whole = F.when(F.col("tier").isNotNull(), F.col("_far")).otherwise(F.col("content"))
+    start = F.coalesce("start", F.lit(0)).cast("int")
+    return rows.withColumn("body", F.substring(whole, start + 1, F.coalesce("length", F.octet_length(whole) - start).cast("int"))).drop("_far")
+
+
+def remove_prefix(objects: DataFrame, bucket: str, prefix: str) -> DataFrame:
+    """Objects after a recursive delete; a prefix that ends in no slash also takes the key itself."""
+    return objects.where((F.col("bucket") != bucket) | ~F.startswith("key", F.lit(prefix)))
 
 
 def abort_uploads(uploads: DataFrame, parts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +147,9 @@ def merge_secrets(old_rules: DataFrame, new_rules: DataFrame, mask: str = "*****
 
 
 def change_identities(people: DataFrame, changes: DataFrame) -> DataFrame:
-    """People after a batch of changes: op put adds or replaces a row of this access key, op remove drops it."""
+    """People after a batch of changes: op put adds or replaces a row of this access key, op remove drops it.
+    Of several changes of one key the last counts: by the column ``place`` if there is one."""
+    changes = last_of_each(changes, ["access_key"], *(c for c in changes.columns if c == "place"))
     rest = people.join(changes.select("access_key"), "access_key", "left_anti").select(*people.columns)
     return rest.unionByName(changes.where("op = 'put'").select(*people.columns))
 

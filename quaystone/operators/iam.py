@@ -79,25 +79,35 @@ def conditions_hold(conditions: Column, account: Column, ip: Column, values: Col
     return conditions.isNull() | F.forall(F.map_entries(conditions), each)
 
 
-def statement_matches(account: str = "access_key", action: str = "action", bucket: str = "bucket", obj: str = "object", ip: str = "source_ip", values: str = "condition_values") -> Column:
-    """Over rows that hold a request and a statement."""
+def statement_matches(statement: Column | None = None, account: str = "access_key", action: str = "action", bucket: str = "bucket", obj: str = "object", ip: str = "source_ip", values: str = "condition_values") -> Column:
+    """Over rows that hold a request and a statement: in columns of their own, or as the struct ``statement``."""
+    of = F.col if statement is None else (lambda name: statement[name])
     return (
-        principal_matches(F.col("principals"), F.col(account)) & action_matches(F.col("actions"), F.col("not_actions"), F.col(action))
-        & resource_matches(F.col("resources"), F.col(bucket), F.col(obj)) & conditions_hold(F.col("conditions"), F.col(account), F.col(ip), F.col(values))
+        principal_matches(of("principals"), F.col(account)) & action_matches(of("actions"), of("not_actions"), F.col(action))
+        & resource_matches(of("resources"), F.col(bucket), F.col(obj)) & conditions_hold(of("conditions"), F.col(account), F.col(ip), F.col(values))
     )
 
 
+def _by_key(grants: DataFrame, statements: DataFrame) -> DataFrame:
+    """access_key and its policies: an array with an array of statements for each. A key has some dozens at most."""
+    fields = [c for c in statements.columns if c not in ("policy", "stmt_pos")]
+    each = statements.groupBy("policy").agg(F.collect_list(F.struct(*fields)).alias("statements"))
+    return grants.join(small(each), "policy").groupBy("access_key").agg(F.collect_list("statements").alias("_policies"))
+
+
 def decide(requests: DataFrame, grants: DataFrame, statements: DataFrame, strict_deny: bool = False) -> DataFrame:
     """Adds ``allowed`` to requests (request_id, access_key, action, bucket, object, source_ip, condition_values).
 
     grants names the policies of each access key. Inside one policy a deny wins; across policies any that allows
-    is enough, unless ``strict_deny``. Policies are joined by name, requests by key; statements are configuration.
+    is enough, unless ``strict_deny``. A request meets its key's policies in one row and is decided there: no group by
+    request, and no shuffle of requests while the keys' policies are few enough to be broadcast.
     """
-    rows = requests.join(grants, "access_key").join(small(statements), "policy").where(statement_matches())
-    per_policy = rows.groupBy("request_id", "policy").agg(F.bool_or(F.col("effect") == "Allow").alias("a"), F.bool_or(F.col("effect") == "Deny").alias("d"))
-    ok = F.bool_or(F.col("a") & ~F.col("d"))
-    result = per_policy.groupBy("request_id").agg((ok & ~F.bool_or("d") if strict_deny else ok).alias("allowed"))
-    return requests.join(result, "request_id", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    rows = requests.join(small(grants.select("access_key", "policy").distinct().transform(lambda g: _by_key(g, statements))), "access_key", "left")
+    hit = lambda p, effect: F.exists(p, lambda s: (s["effect"] == effect) & statement_matches(s))
+    allowed = F.exists("_policies", lambda p: hit(p, "Allow") & ~hit(p, "Deny"))
+    if strict_deny:
+        allowed = allowed & ~F.exists("_policies", lambda p: hit(p, "Deny"))
+    return rows.withColumn("allowed", F.coalesce(allowed, F.lit(False))).select(*requests.columns, "allowed")
 
 
 def bucket_policy_decision(iam_allowed: Column, bucket_allows: Column, bucket_denies: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.functions import times
@@ -17,53 +17,56 @@ def small(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rules
 
 
-def _match(rows: DataFrame, rules: DataFrame, key: str = "key"):
-    on = (rows["bucket"] == rules["rule_bucket"]) & F.startswith(rows[key], rules["prefix"])
-    return on & (F.coalesce(rules["status"], F.lit("")).isin("", "Enabled"))
+def _with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows with ``_rules``: those of their bucket that are enabled and whose prefix fits, in order.
 
+    A bucket has a thousand rules at most, so they travel as one array; rows are neither multiplied nor grouped, and not
+    shuffled while the buckets with rules are few enough to be broadcast.
+    """
+    live = rules.where(F.coalesce("status", F.lit("")).isin("", "Enabled"))
+    fields = ["rule_pos", *(c for c in rules.columns if c not in ("bucket", "rule_pos", "status"))]
+    each = live.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_rules"))
+    out = rows.join(small(each), "bucket", "left")
+    return out.withColumn("_rules", F.filter("_rules", lambda r: F.startswith(F.col("key"), r["prefix"])))
 
-def _named(rules: DataFrame) -> DataFrame:
-    return small(rules.withColumnRenamed("bucket", "rule_bucket"))
 
+def _expiring(at: Column) -> Column:
+    """The first rule that makes a row due."""
+    return F.get(F.filter("_rules", lambda r: times.due(F.col("mod_time"), r["expiration_days"], r["expiration_date"], at)), F.lit(0))
 
-def expire(objects: DataFrame, rules: DataFrame, now: str) -> DataFrame:
-    """Objects that are due, with the first matching rule (by rule_pos) that makes them so.
 
-    The first match is a grouped minimum, so an object that fits many rules is never ranked in a window.
-    """
-    at = F.lit(now).cast("timestamp_ntz")
-    r = _named(rules)
-    is_due = times.due(objects["mod_time"], r["expiration_days"], r["expiration_date"], at)
-    hits = objects.join(r, _match(objects, r) & is_due)
-    return hits.groupBy("bucket", "key").agg(F.min_by("id", "rule_pos").alias("rule_id"), F.first("size").alias("size"))
+def _least(field: str) -> Column:
+    """The smallest threshold above zero of any rule."""
+    return F.array_min(F.transform(F.filter("_rules", lambda r: r[field] > 0), lambda r: r[field]))
+
+
+def expire(objects: DataFrame, rules: DataFrame, now: str) -> DataFrame:
+    """Objects that are due, with the first matching rule (by rule_pos) that makes them so."""
+    rule = _expiring(F.lit(now).cast("timestamp_ntz"))
+    hits = _with_rules(objects, rules).withColumn("_hit", rule).where(F.col("_hit").isNotNull())
+    return hits.select("bucket", "key", F.col("_hit.id").alias("rule_id"), "size")
 
 
 def transition(objects: DataFrame, rules: DataFrame, now: str) -> DataFrame:
     """Objects to move to a colder tier: not expiring now, not tiered yet, first matching transition rule."""
     at = F.lit(now).cast("timestamp_ntz")
-    going = expire(objects, rules, now).select("bucket", "key")
-    stay = objects.join(going, ["bucket", "key"], "left_anti")
-    r = _named(rules.where("transition_days > 0"))
-    hits = stay.join(r, _match(stay, r) & times.due(stay["mod_time"], r["transition_days"], F.lit(None), at))
-    return hits.groupBy("bucket", "key").agg(F.min_by(F.struct("id", "transition_tier"), "rule_pos").alias("r")).select("bucket", "key", F.col("r.id").alias("rule_id"), "r.transition_tier")
+    first = F.get(F.filter("_rules", lambda r: (r["transition_days"] > 0) & times.due(F.col("mod_time"), r["transition_days"], F.lit(None), at)), F.lit(0))
+    rows = _with_rules(objects, rules).where(_expiring(at).isNull()).withColumn("_hit", first)
+    return rows.where(F.col("_hit").isNotNull()).select("bucket", "key", F.col("_hit.id").alias("rule_id"), "_hit.transition_tier")
 
 
 def expire_noncurrent(versions: DataFrame, rules: DataFrame, now: str) -> DataFrame:
     """Noncurrent versions older than the smallest threshold of any matching rule."""
     at = F.lit(now).cast("timestamp_ntz")
-    r = _named(rules.where("noncurrent_days > 0"))
-    old = noncurrent(versions)
-    hits = old.join(r, _match(old, r)).groupBy("bucket", "key", "seq").agg(F.min("noncurrent_days").alias("days"), F.first("mod_time").alias("mod_time"))
-    return hits.where(times.due(F.col("mod_time"), F.col("days"), F.lit(None), at)).select("bucket", "key", "seq", "days")
+    rows = _with_rules(noncurrent(versions), rules).withColumn("days", _least("noncurrent_days"))
+    return rows.where(times.due(F.col("mod_time"), F.col("days"), F.lit(None), at)).select("bucket", "key", "seq", "days")
 
 
 def stale_uploads(uploads: DataFrame, rules: DataFrame, now: str, default_days: int = 7) -> DataFrame:
     """Uploads to abort: older than the smallest matching threshold, or the default if that is smaller."""
     at = F.lit(now).cast("timestamp_ntz")
-    r = _named(rules.where("abort_mpu_days > 0"))
-    hits = uploads.join(r, _match(uploads, r), "left").groupBy("bucket", "key", "upload_id").agg(F.min("abort_mpu_days").alias("days"), F.first("initiated").alias("initiated"))
-    limit = F.least(F.col("days"), F.lit(default_days))
-    return hits.withColumn("days", limit).where(times.due(F.col("initiated"), F.col("days"), F.lit(None), at)).select("bucket", "key", "upload_id", "days")
+    rows = _with_rules(uploads, rules).withColumn("days", F.least(_least("abort_mpu_days"), F.lit(default_days)))
+    return rows.where(times.due(F.col("initiated"), F.col("days"), F.lit(None), at)).select("bucket", "key", "upload_id", "days")
 
 
 def own_expiry(objects: DataFrame, now: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.functions.keys import common_prefix, search_hit
+from quaystone.functions.keys import common_prefix, search_hit, website_key
 
 MOST_KEYS = 1000
 
@@ -83,8 +83,62 @@ def buckets_by_quorum(seen: DataFrame, quorum: int) -> DataFrame:
 
 
 def missing_buckets(disks: DataFrame, seen: DataFrame) -> DataFrame:
-    """Online disks that lack a bucket that some disk has. Disks are a small, fixed set of machines' drives."""
-    names = seen.select("bucket").distinct()
-    online = disks.where("online").select("disk_idx")
-    wanted = names.withColumn("disk_idx", F.explode(F.lit([r[0] for r in online.limit(10_000).collect()]).cast("array<int>")))
-    return wanted.join(seen.select("bucket", "disk_idx").distinct(), ["bucket", "disk_idx"], "left_anti")
+    """Online disks that lack a bucket that some disk has. Each bucket's disks, one number each, are compared with the online ones."""
+    held = seen.groupBy("bucket").agg(F.collect_set("disk_idx").alias("_held"))
+    # one row, as long as there are drives
+    online = disks.where("online").agg(F.collect_set("disk_idx").alias("_online"))
+    return held.crossJoin(F.broadcast(online)).select("bucket", F.explode(F.array_except("_online", "_held")).alias("disk_idx"))
+
+
+def bucket_stat(seen: DataFrame, bucket: str, quorum: int) -> DataFrame:
+    """One bucket as enough disks know it."""
+    return buckets_by_quorum(seen.where(F.col("bucket") == bucket), quorum)
+
+
+def buckets(objects: DataFrame, created: DataFrame | None = None) -> DataFrame:
+    """All buckets by name, empty ones too if ``created`` (bucket, created) knows them."""
+    names = objects.select("bucket").distinct()
+    if created is None:
+        return names
+    return names.join(created.groupBy("bucket").agg(F.min("created").alias("created")), "bucket", "full_outer")
+
+
+def configs(rows: DataFrame, prefix: str) -> DataFrame:
+    """Names of configuration documents right below a prefix, from whichever online disk has them."""
+    rest = F.substring("name", len(prefix) + 1, 1 << 30)
+    return rows.where(F.col("online") & F.startswith("name", F.lit(prefix))).select(F.concat(F.lit(prefix), F.substring_index(rest, "/", 1)).alias("name")).distinct()
+
+
+def snapshots(manifests: DataFrame, bucket: str) -> DataFrame:
+    """A bucket's snapshots without their entries, newest first."""
+    return manifests.where(F.col("bucket") == bucket).select("bucket", "id", "created", "objects", "bytes").orderBy(F.desc("created"), F.desc("id"))
+
+
+def with_folder_usage(rows: DataFrame, usage: DataFrame) -> DataFrame:
+    """Listing rows (bucket, item, is_prefix); folders with what lies in them, as the last scan (bucket, folder, objects, bytes) saw it."""
+    known = usage.select("bucket", F.col("folder").alias("item"), F.lit(True).alias("is_prefix"), "objects", "bytes")
+    return rows.join(known, ["bucket", "item", "is_prefix"], "left")
+
+
+def sorted_rows(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """A listing in the order of its name (case aside), size or modified column; ties by key."""
+    by = {"name": F.lower("key"), "size": F.coalesce("size", F.lit(0)), "modified": F.coalesce(F.col("mod_time").cast("string"), F.lit(""))}[column]
+    return rows.orderBy(by.desc() if descending else by.asc(), "key")
+
+
+def recursive(objects: DataFrame, bucket: str, prefix: str = "") -> DataFrame:
+    """All objects below a prefix, without pages."""
+    return objects.where((F.col("bucket") == bucket) & F.startswith("key", F.lit(prefix)))
+
+
+def website_objects(requests: DataFrame, objects: DataFrame, index: str = "index.html") -> DataFrame:
+    """Requests (bucket, path) with the key that a website serves: the one asked for (folders get the index), else the index of a
+    folder of that name; null if there is neither. Two joins."""
+    asked = website_key(F.col("path"), index)
+    rows = requests.withColumn("_first", asked).withColumn("_second", F.when(~F.endswith("path", F.lit("/")) & (asked != index), F.concat(asked, F.lit("/" + index))))
+    have = objects.select("bucket", "key").distinct()
+    for name in ("_first", "_second"):
+        hit = have.select("bucket", F.col("key").alias(name), F.lit(True).alias(f"{name}_there"))
+        rows = rows.join(hit, ["bucket", name], "left")
+    served = F.when(F.col("_first_there"), F.col("_first")).when(F.col("_second_there"), F.col("_second"))
+    return rows.withColumn("served", served).drop("_first", "_second", "_first_there", "_second_there")

@@ -40,12 +40,15 @@ def origin_allowed(patterns: Column, origin: Column) -> Column:
 
 
 def cors(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each request with the position of the first CORS rule that fits (null if none)."""
-    r = small(rules.withColumnRenamed("bucket", "rule_bucket"))
-    method = F.exists(r["methods"], lambda m: (m == "*") | (F.lower(m) == F.lower(requests["method"])))
-    on = (requests["bucket"] == r["rule_bucket"]) & origin_allowed(r["origins"], requests["origin"]) & method
-    hit = requests.join(r, on).groupBy("request_id").agg(F.min("rule_pos").alias("rule_pos"))
-    return requests.join(hit, "request_id", "left")
+    """Each request with the position of the first CORS rule that fits (null if none).
+
+    A bucket's rules are one row, in their order; requests are not grouped, and not shuffled while rules are few.
+    """
+    each = rules.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("rule_pos", "origins", "methods"))).alias("_rules"))
+    rows = requests.join(small(each), "bucket", "left")
+    method = lambda r: F.exists(r["methods"], lambda m: (m == "*") | (F.lower(m) == F.lower(F.col("method"))))
+    fits = F.filter("_rules", lambda r: origin_allowed(r["origins"], F.col("origin")) & method(r))
+    return rows.withColumn("rule_pos", F.get(fits, F.lit(0))["rule_pos"]).drop("_rules")
 
 
 def form_policy_holds(conditions: Column, fields: Column, size: Column) -> Column:

@@ -1,36 +1,39 @@
 """Folds in time order: rate limits, breakers, locks, repair queues, caches.
 
-Each is keyed; the fold gathers one key's events in order. Streams run the same steps in ``quaystone.streaming``.
+Each is keyed. Rate limits and breakers stream a key's events in order and hold a few numbers; locks and caches gather
+one resource's or node's events. Streams run the same steps in ``quaystone.streaming``.
 """
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quaystone.operators.fold import ordered_fold
 
-def token_bucket(requests: DataFrame, rate: float, burst: float, by: str = "access_key") -> DataFrame:
-    """For each key: requests that pass and that are refused. Tokens refill with time up to the burst; a request takes one.
 
-    The state is a few numbers: the fold over ordered times stays in generated expressions.
-    """
+def token_bucket(requests: DataFrame, rate: float, burst: float, by: str = "access_key") -> DataFrame:
+    """For each key: requests that pass and that are refused. Tokens refill with time up to the burst; a request takes one."""
+    kind = dict(requests.dtypes)[by]
     seconds = (F.unix_micros(F.col("time").cast("timestamp")) / 1_000_000).alias("t")
-    rows = requests.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(seconds, F.col("req_id")))).alias("e"))
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).alias("passed"), F.lit(0).alias("refused"))
 
-    def step(s: Column, e: Column) -> Column:
-        full = F.least(F.lit(float(burst)), s["tokens"] + F.coalesce(e["t"] - s["last"], F.lit(0.0)) * rate)
-        ok = full >= 1
-        return F.struct(
-            (full - F.when(ok, 1.0).otherwise(0.0)).alias("tokens"), e["t"].alias("last"),
-            (s["passed"] + ok.cast("int")).alias("passed"), (s["refused"] + (~ok).cast("int")).alias("refused"),
-        )
+    def step(_: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        tokens, last, passed, refused = state or (float(burst), None, 0, 0)
+        for t in rows["t"].tolist():
+            tokens = min(float(burst), tokens + (0.0 if last is None else t - last) * rate)
+            last = t
+            if tokens >= 1:
+                tokens, passed = tokens - 1.0, passed + 1
+            else:
+                refused += 1
+        return (tokens, last, passed, refused), pd.DataFrame({by: [], "passed": [], "refused": []})
+
+    def finish(key: tuple, state: tuple) -> pd.DataFrame:
+        return pd.DataFrame({by: [key[0]], "passed": [state[2]], "refused": [state[3]]})
 
-    out = rows.select(by, F.aggregate("e", start, step).alias("s"))
-    return out.select(by, "s.passed", "s.refused")
+    return ordered_fold(requests.select(by, seconds, "req_id"), [by], ["t", "req_id"], f"{by} {kind}, passed int, refused int", step, finish)
 
 
 def breaker_trips(calls: DataFrame, failures: int = 4, by: str = "peer") -> DataFrame:
@@ -46,10 +49,9 @@ def breaker_trips(calls: DataFrame, failures: int = 4, by: str = "peer") -> Data
 def breaker_states(calls: DataFrame, failures: int = 4, cooldown: float = 5.0, by: str = "peer") -> DataFrame:
     """Each call's fate: called, refused (open) or probe (the one call let through after the cooldown)."""
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        streak, opened, out = 0, None, []
-        for at, ok in zip(pdf["at"], pdf["ok"], strict=True):
+    def step(_: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        (streak, opened), out = state or (0, None), []
+        for at, ok in zip(rows["at"], rows["ok"], strict=True):
             if opened is not None and at - opened < cooldown:
                 out.append("refused")
                 continue
@@ -59,10 +61,10 @@ def breaker_states(calls: DataFrame, failures: int = 4, cooldown: float = 5.0, b
                 opened = None
             elif opened is not None or streak >= failures:
                 opened = at
-        return pd.DataFrame({by: key[0], "seq": pdf["seq"], "fate": out})
+        return (streak, opened), pd.DataFrame({by: rows[by], "seq": rows["seq"], "fate": out})
 
     kind = dict(calls.dtypes)[by]
-    return calls.select(by, "seq", "at", "ok").groupBy(by).applyInPandas(fold, f"{by} {kind}, seq bigint, fate string")
+    return ordered_fold(calls.select(by, "seq", "at", "ok"), [by], ["seq"], f"{by} {kind}, seq bigint, fate string", step)
 
 
 def lock_log(ops: DataFrame, ttl: float = 60.0) -> DataFrame:

@@ -58,3 +58,14 @@ def scan_usage(objects: DataFrame, now: str) -> DataFrame:
     """Bucket usage as a scan reports it: objects past their own expiry are left out, rule expiry is not looked at."""
     alive = F.col("expires_at").isNull() | (F.col("expires_at") >= F.lit(now).cast("timestamp_ntz"))
     return by_bucket(objects.where(alive))
+
+
+def peers(rows: DataFrame) -> DataFrame:
+    """Peers that are up, and all of them."""
+    return rows.agg(F.count_if("up").alias("peers_up"), F.count("*").alias("peers_total"))
+
+
+def scan_report(outcomes: DataFrame) -> DataFrame:
+    """Counters of a scan pass from its outcomes (bucket, kind: expired, noncurrent, aborted, healed, tiered, error, or seen)."""
+    kinds = {"expired": "objects_expired", "noncurrent": "versions_expired", "aborted": "uploads_aborted", "healed": "objects_healed", "tiered": "objects_tiered", "error": "errors"}
+    return outcomes.agg(F.count_distinct("bucket").alias("buckets_scanned"), *(F.count_if(F.col("kind") == k).alias(name) for k, name in kinds.items()))

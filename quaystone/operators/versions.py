@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quaystone.sources.sinks import last_of_each
 
 KEY = ["bucket", "key"]
 
@@ -72,19 +77,26 @@ def retention_allowed(old_mode: Column, old_until: Column, new_mode: Column, new
 # Changes: the old table and a request give the new table.
 
 
-def put(versions: DataFrame, new: DataFrame, suspended: bool = False) -> DataFrame:
-    """Appends new heads; in a suspended bucket they replace the entry whose id is ``null``."""
+def put(versions: DataFrame, new: DataFrame, suspended: bool = False, order: Sequence[str] = ()) -> DataFrame:
+    """Appends new heads; in a suspended bucket they replace the entry whose id is ``null``.
+
+    Several puts of one key in a batch become one version after the other, by ``order`` (columns that only say so are not
+    kept), or else by all columns that have an order. In a suspended bucket the last one stays.
+    """
     if suspended:
+        new = last_of_each(new, KEY, *order)
         gone = versions.join(new.select(*KEY), KEY, "left_semi").where("version_id = 'null'").select(*KEY, "version_id")
         versions = versions.join(gone, [*KEY, "version_id"], "left_anti").select(*versions.columns)
         new = new.withColumn("version_id", F.lit("null"))
-    return versions.unionByName(_next_seq(versions, new), allowMissingColumns=True)
+    return versions.unionByName(_next_seq(versions, new, order), allowMissingColumns=True)
 
 
-def _next_seq(versions: DataFrame, new: DataFrame) -> DataFrame:
+def _next_seq(versions: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:
     last = versions.groupBy(*KEY).agg(F.max("seq").alias("_last"))
-    bare = new.drop("seq")
-    return bare.join(last, KEY, "left").withColumn("seq", F.coalesce(F.col("_last"), F.lit(0)) + 1).drop("_last")
+    by = list(order) or [f.name for f in new.schema if f.name not in KEY and not isinstance(f.dataType, T.MapType)] or KEY
+    place = F.row_number().over(W.partitionBy(*KEY).orderBy(*by))
+    bare = new.withColumn("_place", place).drop("seq", *[c for c in order if c not in versions.columns])
+    return bare.join(last, KEY, "left").withColumn("seq", F.coalesce(F.col("_last"), F.lit(0)) + F.col("_place")).drop("_last", "_place")
 
 
 def delete(versions: DataFrame, keys: DataFrame, now: str, suspended: bool = False) -> DataFrame:
@@ -106,3 +118,14 @@ def adopt_plain(versions: DataFrame, objects: DataFrame) -> DataFrame:
     """Objects without a log become their log's first entry, with the id ``null``."""
     fresh = objects.join(versions.select(*KEY).distinct(), KEY, "left_anti").withColumn("version_id", F.lit("null")).withColumn("delete_marker", F.lit(False))
     return versions.unionByName(fresh.withColumn("seq", F.lit(0).cast("bigint")), allowMissingColumns=True)
+
+
+def unversioned(objects: DataFrame) -> DataFrame:
+    """Objects of a bucket without versioning as a listing of versions shows them: one each, ``null``, the latest."""
+    return objects.withColumn("version_id", F.lit("null")).withColumn("is_latest", F.lit(True)).withColumn("delete_marker", F.lit(False))
+
+
+def emptied(versions: DataFrame, bucket: str, now: str) -> DataFrame:
+    """The log after a bucket has been emptied: all its entries go, other than those that a lock holds."""
+    held = lock_blocks(F.col("legal_hold"), F.col("retain_until"), F.col("lock_mode"), F.lit(False), F.lit(now).cast("timestamp_ntz"))
+    return versions.where((F.col("bucket") != bucket) | F.coalesce(held, F.lit(False)))

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.functions import globs, hashing, keys, meta, projections, times
 from quaystone.functions import requests as rq
 from quaystone.operators import audit, changes, iam, lifecycle, listing, metrics, multipart, notify, quorum, snapshot, stateful, usage, versions
 from quaystone.plans import sqlviews as v
+from quaystone.plans.registry import QUERIES, SQL, query
 from quaystone.sources import sinks, views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 # Usage.
@@ -196,12 +183,14 @@ def object_lock_blocked(spark, sf):
 
 @query(
     _V
-    + """SELECT bucket, key, max(seq) + 1 AS seq FROM ver GROUP BY 1, 2 HAVING max(seq) % 2 = 0 UNION ALL SELECT bucket, key, seq FROM ver"""
+    + """SELECT bucket, key, max(seq) + n AS seq, 'new' || n AS version_id FROM ver, (SELECT range AS n FROM range(1, 3)) GROUP BY bucket, key, n HAVING max(seq) % 2 = 0 UNION ALL SELECT bucket, key, seq, version_id FROM ver"""
 )
 def put_versions(spark, sf):
+    """Two puts of a key in one batch make two versions, in their order."""
     log = views.versions(spark, sf)
-    new = versions.latest(log).where("seq % 2 = 0").select("bucket", "key").withColumn("version_id", F.lit("new"))
-    return versions.put(log, new).select("bucket", "key", "seq")
+    new = versions.latest(log).where("seq % 2 = 0").select("bucket", "key", F.explode(F.lit([2, 1])).alias("place"))
+    new = new.withColumn("version_id", F.concat(F.lit("new"), F.col("place").cast("string")))
+    return versions.put(log, new, order=["place"]).select("bucket", "key", "seq", "version_id")
 
 
 # Lifecycle.
@@ -623,8 +612,7 @@ _TARGETS = [("b1", "all", None, None, None), ("b1", "created", "1", None, ["s3:O
 
 
 def _events(spark, sf):
-    kind = F.when(F.col("event_type") == "error", "s3:ObjectRemoved:Delete").when(F.col("event_type") == "purchase", "s3:ObjectCreated:Put").otherwise("s3:ObjectCreated:Copy")
-    return views.versions(spark, sf).join(views.table(spark, sf, "events").select(F.col("event_id").alias("seq"), kind.alias("kind")), "seq")
+    return views.versions(spark, sf)
 
 
 @query(
@@ -737,13 +725,13 @@ def range_resolve(spark, sf):
 
 @query(v.with_(v.DOCS) + "SELECT doc_id, 'team=' || bucket || '&z=1' AS tags, bucket AS team FROM docs")
 def tag_parse(spark, sf):
-    text = F.concat(F.lit("z=1&team="), F.col("bucket"))
+    text = F.concat(F.lit("z=1&team=old&team="), F.col("bucket"))
     return views.doc_objects(spark, sf).withColumn("m", meta.tags(text)).select("doc_id", meta.tag_text(F.col("m")).alias("tags"), F.col("m")["team"].alias("team"))
 
 
 @query(v.with_(v.DOCS) + "SELECT doc_id, bucket AS owner, 1 AS n FROM docs")
 def metadata_projection(spark, sf):
-    headers = F.create_map(F.lit("X-Amz-Meta-Owner"), F.col("bucket"), F.lit("Content-Type"), F.lit("text/plain"))
+    headers = F.create_map(F.lit("X-Amz-Meta-Owner"), F.lit("first"), F.lit("Content-Type"), F.lit("text/plain"), F.lit("x-amz-meta-owner"), F.col("bucket"))
     return views.doc_objects(spark, sf).withColumn("m", meta.user_metadata(headers)).select("doc_id", F.col("m")["owner"].alias("owner"), F.size("m").alias("n"))
 
 
@@ -802,13 +790,18 @@ def shard_sizes(spark, sf):
 
 @query(
     v.with_(v.VER)
-    + """, cur AS (SELECT bucket, key, max(seq) AS revision FROM ver GROUP BY 1, 2), w AS (SELECT bucket, key, CASE WHEN revision % 2 = 0 THEN revision WHEN revision % 3 = 0 THEN 1 END AS expected FROM cur)
-SELECT bucket, key, CASE WHEN expected IS NOT NULL AND expected <> revision THEN 'conflict' ELSE 'ok' END AS outcome, CASE WHEN expected IS NULL OR expected = revision THEN revision + 1 END AS revision FROM w JOIN cur USING (bucket, key)"""
+    + """, cur AS (SELECT bucket, key, max(seq) AS revision FROM ver GROUP BY 1, 2), w AS (SELECT *, CASE WHEN revision % 2 = 0 THEN revision WHEN revision % 3 = 0 THEN 1 END AS expected FROM cur),
+f AS (SELECT *, expected IS NULL OR expected = revision AS ok FROM w)
+SELECT bucket, key, 0 AS place, CASE WHEN ok THEN 'ok' ELSE 'conflict' END AS outcome, CASE WHEN ok THEN revision + 1 END AS revision FROM f UNION ALL
+SELECT bucket, key, 1, CASE WHEN ok THEN 'ok' ELSE 'conflict' END, CASE WHEN ok THEN revision + 2 END FROM f UNION ALL SELECT bucket, key, 2, 'ok', revision + CASE WHEN ok THEN 3 ELSE 1 END FROM f"""
 )
 def revision_commit(spark, sf):
+    """Three writes of each key: one that may expect another revision, one that expects the first to have gone through, one that expects nothing."""
     cur = views.versions(spark, sf).groupBy("bucket", "key").agg(F.max("seq").alias("revision"))
-    expected = F.when(F.col("revision") % 2 == 0, F.col("revision")).when(F.col("revision") % 3 == 0, F.lit(1).cast("bigint"))
-    return sinks.commit(cur, cur.select("bucket", "key", expected.alias("expected"))).select("bucket", "key", "outcome", "revision")
+    first = F.when(F.col("revision") % 2 == 0, F.col("revision")).when(F.col("revision") % 3 == 0, F.lit(1).cast("bigint"))
+    writes = cur.select("bucket", "key", F.col("revision").alias("r"), first.alias("e"), F.explode(F.lit([2, 1, 0])).alias("place"))
+    writes = writes.select("bucket", "key", "place", F.when(F.col("place") == 0, F.col("e")).when(F.col("place") == 1, F.col("r") + 1).alias("expected"))
+    return sinks.commit(cur, writes, "place").select("bucket", "key", "place", "outcome", "revision")
 
 
 # Audit chains.
@@ -856,16 +849,18 @@ def snapshot_restore(spark, sf):
 def tag_change(spark, sf):
     docs = views.doc_objects(spark, sf)
     table = docs.withColumn("user_tags", F.lit("old=1")).withColumn("mod_time", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    asked = docs.where("doc_id % 3 = 0").select("bucket", "key", F.lit("a=1").alias("tags"))
-    return changes.set_tags(table, asked, views.NOW).select("bucket", "key", "user_tags", "mod_time")
+    asked = docs.where("doc_id % 3 = 0").select("bucket", "key", F.explode(F.lit([1, 0])).alias("place"))
+    asked = asked.withColumn("tags", F.concat(F.lit("a="), F.col("place").cast("string")))
+    return changes.set_tags(table, asked, views.NOW, "place").select("bucket", "key", "user_tags", "mod_time")
 
 
-@query(v.with_(v.DOCS) + "SELECT bucket, key, size FROM docs WHERE doc_id % 4 <> 1 UNION ALL SELECT bucket, key, size FROM docs WHERE doc_id % 4 = 1 UNION ALL SELECT 'copies', bucket || '/' || key, size FROM docs WHERE doc_id % 4 = 1")
+@query(v.with_(v.DOCS) + "SELECT bucket, key, size FROM docs WHERE doc_id % 4 <> 1 UNION ALL SELECT bucket, key, size FROM docs WHERE doc_id % 4 = 1 UNION ALL SELECT 'copies', bucket || '/' || key, size FROM docs WHERE doc_id % 4 = 1 UNION ALL SELECT 'copies', 'same', arg_max(size, struct_pack(b := bucket, k := key)) FROM docs WHERE doc_id % 4 = 2")
 def copy_objects(spark, sf):
     docs = views.doc_objects(spark, sf)
     table = docs.select("bucket", "key", "size", F.create_map(F.lit("a"), F.lit("1")).alias("user_meta"), F.lit(views.NOW).cast("timestamp_ntz").alias("mod_time"))
-    asked = docs.where("doc_id % 4 = 1").select(
-        "bucket", "key", F.lit("copies").alias("to_bucket"), F.concat_ws("/", "bucket", "key").alias("to_key"), F.lit("REPLACE").alias("directive"), F.create_map(F.lit("b"), F.lit("2")).alias("user_meta")
+    to_key = F.when(F.col("doc_id") % 4 == 1, F.concat_ws("/", "bucket", "key")).otherwise("same")
+    asked = docs.where("doc_id % 4 IN (1, 2)").select(
+        "bucket", "key", F.lit("copies").alias("to_bucket"), to_key.alias("to_key"), F.lit("REPLACE").alias("directive"), F.create_map(F.lit("b"), F.lit("2")).alias("user_meta")
     )
     return changes.copy_objects(table, asked, views.NOW).select("bucket", "key", "size")
 
@@ -875,7 +870,7 @@ def copy_objects(spark, sf):
     + """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ok' WHEN size = 0 THEN 'ok' ELSE 'InvalidWriteOffset' END AS outcome, CASE WHEN doc_id % 2 = 0 OR size = 0 THEN CAST(size + 2 AS INTEGER) END AS new_size FROM docs"""
 )
 def append_objects(spark, sf):
-    docs = views.doc_objects(spark, sf).join(views.table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id")
+    docs = views.doc_objects(spark, sf)
     offset = F.when(F.col("doc_id") % 2 == 0, F.col("size")).otherwise(0)
     asked = docs.select("bucket", "key", "doc_id", offset.alias("offset"), F.lit(b"xy").alias("content"))
     return changes.append(docs.select("bucket", "key", "content"), asked).select("doc_id", "outcome", F.octet_length("new_content").alias("new_size"))
@@ -906,3 +901,7 @@ def operation_mix(spark, sf):
     names = F.when(F.col("method") == "POST", F.array(F.lit("uploads"))).otherwise(F.array().cast("array<string>"))
     name = rq.operation_name(F.col("method"), F.lit("b"), F.lit("o"), names, F.lit(False))
     return views.requests(spark, sf).groupBy("method", name.alias("operation")).agg(F.count("*").alias("n"))
+
+
+# Further parts of the registry.
+from quaystone.plans import columns, tables  # noqa: E402, F401

@@ -23,7 +23,9 @@ def doc_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as objects of their source's bucket."""
     key = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     size = F.octet_length("text").cast("bigint")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("bucket"), key.alias("key"), size.alias("size"), F.md5("text").alias("etag"), F.sha2("text", 256).alias("data_ref"), "doc_id")
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("bucket"), key.alias("key"), size.alias("size"), F.md5("text").alias("etag"), F.sha2("text", 256).alias("data_ref"), "doc_id", F.col("text").cast("binary").alias("content")
+    )
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("mod_time"), size.alias("size"), (F.col("event_id") % 7 == 0).alias("legal_hold"),
         F.when(F.col("event_id") % 3 == 0, "COMPLIANCE").when(F.col("event_id") % 3 == 1, "GOVERNANCE").alias("lock_mode"),
         F.timestamp_add("DAY", (F.col("event_id") % 40).cast("int"), F.col("ts")).cast("timestamp_ntz").alias("retain_until"),
+        F.when(F.col("event_type") == "error", "s3:ObjectRemoved:Delete").when(F.col("event_type") == "purchase", "s3:ObjectCreated:Put").otherwise("s3:ObjectCreated:Copy").alias("kind"),
     )
 
 
