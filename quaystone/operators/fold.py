@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def ordered_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, step: Callable[[tuple, Any, pd.DataFrame], tuple[Any, pd.DataFrame]], finish: Callable[[tuple, Any], pd.DataFrame] | None = None) -> DataFrame:
+def ordered_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, step: Callable[[tuple, Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]], finish: Callable[[tuple, Any], pd.DataFrame] | None = None) -> DataFrame:
     """Rows are dealt by ``keys`` and sorted by ``order`` inside a key; one shuffle, whatever a key's size.
 
     ``step`` gets a key, the state so far (None at its beginning) and some of its rows in order, a part of an Arrow batch,
-    and gives the new state and rows of ``schema``. ``finish`` gives a key's last rows from its state.
+    and gives the new state and rows of ``schema``, or None for no rows. ``finish`` gives a key's last rows from its state.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +35,8 @@ def ordered_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sch
                         yield finish(at, state)
                     at, state = key, None
                 state, out = step(key, state, part)
-                yield out
+                if out is not None:
+                    yield out
         if at is not None and finish:
             yield finish(at, state)
 

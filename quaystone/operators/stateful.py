@@ -19,7 +19,7 @@ def token_bucket(requests: DataFrame, rate: float, burst: float, by: str = "acce
     kind = dict(requests.dtypes)[by]
     seconds = (F.unix_micros(F.col("time").cast("timestamp")) / 1_000_000).alias("t")
 
-    def step(_: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def step(_: tuple, state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, None]:
         tokens, last, passed, refused = state or (float(burst), None, 0, 0)
         for t in rows["t"].tolist():
             tokens = min(float(burst), tokens + (0.0 if last is None else t - last) * rate)
@@ -28,7 +28,7 @@ def token_bucket(requests: DataFrame, rate: float, burst: float, by: str = "acce
                 tokens, passed = tokens - 1.0, passed + 1
             else:
                 refused += 1
-        return (tokens, last, passed, refused), pd.DataFrame({by: [], "passed": [], "refused": []})
+        return (tokens, last, passed, refused), None
 
     def finish(key: tuple, state: tuple) -> pd.DataFrame:
         return pd.DataFrame({by: [key[0]], "passed": [state[2]], "refused": [state[3]]})
