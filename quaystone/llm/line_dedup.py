@@ -7,7 +7,7 @@ substrings at those places (the narrow windows in which the edits before and beh
 length that could be its partner's. A substring's hash is a difference of two prefix hashes, so a signature costs the
 same whatever its length. Pairs that meet are verified by a banded bit-parallel edit distance.
 
-Before that, 64 parities of neighbouring characters, of which an edit flips few, rule out most pairs inside
+Before that, 256 parities of neighbouring characters, of which an edit flips few, rule out most pairs inside
 the join. A key on which very many lines meet is not paired at all. Its lines, without the segment that they
 share, go through the same join once more among themselves, as the edits must lie in the rest.
 """
@@ -28,14 +28,18 @@ from quaystone.llm._common import fresh_name, stash
 from quaystone.llm.components import connected_components
 
 INDEX, PROBE = 1, 2
-LEVELS = 8
+LEVELS = 6
 #: Tasks over which the probes of a key are dealt on the last level, where all that meets is paired.
 SALTS = 16
 #: One edit more for so many characters, and the most edits of all (31 is what a band of 64 bits could hold).
 PER_EDIT, MOST_EDITS = 512, 8
+#: Lines of a key that a task holds together, and pairs that it looks at together.
+HOT_LINES, PAIRS = 1 << 14, 1 << 18
 #: Characters that signatures are made of at a time, and ids that a task remembers as seen again.
 CHUNK, REMEMBERED = 1 << 20, 1 << 16
 
+#: Words of 64 parities by which pairs are ruled out.
+PARITIES = 4
 BASE = 0x5851F42D4C957F2D
 
 
@@ -81,7 +85,7 @@ class _Hashes:
 
 
 def signatures(texts: list[str], groups: np.ndarray, removed: np.ndarray, distance: int) -> tuple[np.ndarray, ...]:
-    """All signatures of texts as arrays: text number, key, place, size, role.
+    """All signatures of texts as arrays: text number, key, place, size, role, hash of what lies there.
 
     ``groups`` keeps texts of different groups apart. ``removed`` says how many characters a text has lost on earlier levels,
     as the threshold belongs to the whole line.
@@ -90,7 +94,7 @@ def signatures(texts: list[str], groups: np.ndarray, removed: np.ndarray, distan
     lengths = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     mixed_groups = _mixed(groups.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     most = int(threshold(int((lengths + removed).max()), distance))
     for longer in range(most + 1):
         target = lengths - longer
@@ -106,8 +110,9 @@ def signatures(texts: list[str], groups: np.ndarray, removed: np.ndarray, distan
                     at = start + shift
                     # a line's own segment, unshifted, is both an index entry and the probe for lines of equal length
                     role = PROBE if longer or shift else INDEX | PROBE
-                    key = _mixed(hashes.of(begins[rows] + at, size) ^ name)
-                    for column, values in zip(out, (rows, key.view(np.int64), at, size, np.full(len(rows), role, np.int8)), strict=True):
+                    inside = hashes.of(begins[rows] + at, size)
+                    key = _mixed(inside ^ name)
+                    for column, values in zip(out, (rows, key.view(np.int64), at, size, np.full(len(rows), role, np.int8), inside), strict=True):
                         column.append(values)
     return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
 
@@ -131,23 +136,27 @@ def _keys(distance: int):
             fresh = ~np.isin(ids[first], again)
             again = np.union1d(again, ids[first][(counts > 1) & fresh])[-REMEMBERED:]
             for part in _chunks(pdf.iloc[np.sort(first[fresh])]):
-                rows, key, _, _, role = signatures(part["line"].tolist(), part["grp"].to_numpy(np.int64), part["removed"].to_numpy(np.int64), distance)
+                rows, key, _, _, role, _ = signatures(part["line"].tolist(), part["grp"].to_numpy(np.int64), part["removed"].to_numpy(np.int64), distance)
                 yield pd.DataFrame({"key": key, "role": role, **{c: part[c].to_numpy()[rows] for c in ("id", "grp", "text")}})
 
     return run
 
 
 def _cut(distance: int):
-    """Lines that meet on hot keys, without the segments that they share there; the key is their group from then on."""
+    """Lines that meet on hot keys, without the segments that they share there.
+
+    What has been cut out, in whichever order, makes their group from then on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in _chunks(pdf):
                 lines, hot, removed = part["line"].tolist(), part["hot_key"].to_numpy(np.int64), part["removed"].to_numpy(np.int64)
-                rows, key, at, size, _ = signatures(lines, part["grp"].to_numpy(np.int64), removed, distance)
+                groups = part["grp"].to_numpy(np.int64)
+                rows, key, at, size, _, inside = signatures(lines, groups, removed, distance)
                 hit = np.flatnonzero(key == hot[rows])
                 shorter = [lines[r][:a] + "\0" + lines[r][a + s :] for r, a, s in zip(rows[hit].tolist(), at[hit].tolist(), size[hit].tolist(), strict=True)]
-                yield pd.DataFrame({"id": part["id"].to_numpy()[rows[hit]], "line": shorter, "grp": key[hit], "removed": (removed[rows[hit]] + size[hit] - 1).astype(np.int32)})
+                yield pd.DataFrame({"id": part["id"].to_numpy()[rows[hit]], "line": shorter, "grp": groups[rows[hit]] + _mixed(inside[hit]).view(np.int64), "removed": (removed[rows[hit]] + size[hit] - 1).astype(np.int32)})
 
     return run
 
@@ -188,33 +197,90 @@ def _within(a: pd.Series, b: pd.Series, most: int) -> np.ndarray:
     return (np.abs(la - lb) <= most) & (dist <= most)
 
 
-def within_threshold(distance: int):
-    """Whether two lines are within the threshold of the shorter one."""
+def within_threshold(a: pd.Series, b: pd.Series, distance: int) -> np.ndarray:
+    """Whether two lines are within the threshold of the shorter one, pair by pair."""
+    out = np.zeros(len(a), bool)
+    la, lb = a.str.len().to_numpy(np.int64), b.str.len().to_numpy(np.int64)
+    edits = threshold(np.minimum(la, lb), distance)
+    for most in np.unique(edits).tolist():
+        order = np.flatnonzero((edits == most) & (np.abs(la - lb) <= most))
+        order = order[np.argsort(la[order], kind="stable")]
+        k = 0
+        while k < len(order):
+            # as many pairs at a time as CHUNK characters hold, one at least
+            part = order[k : k + 1024]
+            part = part[: max(1, int(np.searchsorted(np.arange(1, len(part) + 1) * la[part], CHUNK)))]
+            out[part] = _within(a.iloc[part], b.iloc[part], most)
+            k += len(part)
+    return out
+
+
+def _links_of_keys(distance: int):
+    """Links a < b of rows that come sorted by key: an index entry and a probe of the same key that are within the threshold.
+
+    Only one key's rows are held at a time; pairs are formed, ruled out by length and parities, and verified in
+    blocks, so only links leave the task.
+    """
 
-    @F.pandas_udf("boolean")
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), bool)
-        la, lb = a.str.len().to_numpy(np.int64), b.str.len().to_numpy(np.int64)
-        edits = threshold(np.minimum(la, lb), distance)
-        for most in np.unique(edits).tolist():
-            order = np.flatnonzero((edits == most) & (np.abs(la - lb) <= most))
-            order = order[np.argsort(la[order], kind="stable")]
-            k = 0
-            while k < len(order):
-                # as many pairs at a time as CHUNK characters hold, one at least
-                part = order[k : k + 1024]
-                part = part[: max(1, int(np.searchsorted(np.arange(1, len(part) + 1) * la[part], CHUNK)))]
-                out[part] = _within(a.iloc[part], b.iloc[part], most)
-                k += len(part)
-        return pd.Series(out)
+    def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids, n, role = (rows[c].to_numpy(np.int64) for c in ("id", "n", "role"))
+        parity = np.stack([rows[f"p{i}"].to_numpy(np.int64).view(np.uint64) for i in range(PARITIES)])
+        key = rows["key"].to_numpy(np.int64)
+        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        left, right, waiting = [], [], 0
+
+        def verified() -> pd.DataFrame:
+            i, j = np.concatenate(left), np.concatenate(right)
+            edits = threshold(np.minimum(n[i], n[j]), distance)
+            keep = (ids[i] != ids[j]) & (np.abs(n[i] - n[j]) <= edits)
+            i, j, edits = i[keep], j[keep], edits[keep]
+            keep = np.bitwise_count(parity[:, i] ^ parity[:, j]).sum(axis=0) <= 4 * edits
+            i, j = i[keep], j[keep]
+            pairs = pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "i": i, "j": j}).drop_duplicates(["a", "b"])
+            near = within_threshold(rows["line"].iloc[pairs["i"]], rows["line"].iloc[pairs["j"]], distance)
+            return pairs.loc[near, ["a", "b"]]
+
+        for begin, end in zip(starts, starts[1:], strict=False):
+            at = np.arange(begin, end)
+            entries, probes = at[role[begin:end] & INDEX > 0], at[role[begin:end] & PROBE > 0]
+            step = max(1, PAIRS // max(1, len(probes)))
+            for k in range(0, len(entries), step):
+                some = entries[k : k + step]
+                left.append(np.repeat(some, len(probes)))
+                right.append(np.tile(probes, len(some)))
+                waiting += len(some) * len(probes)
+                if waiting >= PAIRS:
+                    yield verified()
+                    left, right, waiting = [], [], 0
+        if waiting:
+            yield verified()
 
-    return check
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and (pdf["key"] != held[0]["key"].iloc[0]).any():
+                pdf, held = pd.concat([*held, pdf], ignore_index=True), []
+                last = pdf["key"] == pdf["key"].iloc[-1]
+                yield from links(pdf[~last].reset_index(drop=True))
+                pdf = pdf[last].reset_index(drop=True)
+            elif not held:
+                last = pdf["key"] == pdf["key"].iloc[-1]
+                yield from links(pdf[~last].reset_index(drop=True))
+                pdf = pdf[last].reset_index(drop=True)
+            held.append(pdf)
+        if held:
+            yield from links(pd.concat(held, ignore_index=True))
+
+    return run
 
 
-def _meeting(items: DataFrame, distance: int, hot_pairs: int) -> DataFrame:
+def _meeting(items: DataFrame, distance: int, hot_pairs: int | None) -> DataFrame:
     """id, grp, text, key, role, hot for keys on which an index entry and a probe of another line meet; one shuffle.
 
-    ``text`` tells apart what a line was shortened to.
+    ``text`` tells apart what a line was shortened to. A key is hot beyond ``hot_pairs`` pairs or HOT_LINES lines, none is
+    without a limit.
     """
     keys = items.mapInPandas(_keys(distance), "key bigint, role tinyint, id bigint, grp bigint, text bigint")
     on = W.partitionBy("key")
@@ -223,22 +289,24 @@ def _meeting(items: DataFrame, distance: int, hot_pairs: int) -> DataFrame:
     # few keys are left; only now repeats of a line are taken out and those that meet counted
     met = stash(met.where(f"least < most AND roles = {INDEX | PROBE}").groupBy("key", "id", "grp", "text").agg(F.bit_or("role").alias("role")))
     sizes = met.groupBy("key").agg(F.sum(F.col("role").bitwiseAND(F.lit(INDEX)).cast("bigint")).alias("entries"), F.sum(F.shiftright(F.col("role").cast("int"), 1).cast("bigint")).alias("probes"))
-    hot = stash(sizes.where(F.col("entries") * F.col("probes") > hot_pairs).select("key", F.lit(True).alias("hot")))
+    if hot_pairs is None:
+        return met.withColumn("hot", F.lit(False))
+    hot = stash(sizes.where((F.col("entries") * F.col("probes") > hot_pairs) | (F.col("probes") > HOT_LINES)).select("key", F.lit(True).alias("hot")))
     return met.join(hot, "key", "left").fillna(False, ["hot"])
 
 
-@F.pandas_udf(T.LongType())
-def _pair_parity(texts: pd.Series) -> pd.Series:
-    """64 parities of how often hashed pairs of neighbouring characters occur; one edit flips four at most."""
-    out = np.zeros(len(texts), np.uint64)
+@F.pandas_udf(T.StructType([T.StructField(f"p{i}", T.LongType()) for i in range(PARITIES)]))
+def _pair_parity(texts: pd.Series) -> pd.DataFrame:
+    """64 parities for each field of how often hashed pairs of neighbouring characters occur; one edit flips four of all at most."""
+    out = np.zeros((len(texts), PARITIES), np.uint64)
     for k, t in enumerate(texts):
         codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        at = (codes[:-1] * np.uint64(0x9E3779B1) + codes[1:] * np.uint64(0x85EBCA77)) >> np.uint64(13) & np.uint64(63)
-        out[k] = np.packbits((np.bincount(at.astype(np.int64), minlength=64) & 1).astype(np.uint8)).view(">u8")[0]
-    return pd.Series(out.view(np.int64))
+        at = (codes[:-1] * np.uint64(0x9E3779B1) + codes[1:] * np.uint64(0x85EBCA77)) >> np.uint64(13) & np.uint64(64 * PARITIES - 1)
+        out[k] = np.packbits((np.bincount(at.astype(np.int64), minlength=64 * PARITIES) & 1).astype(np.uint8)).view(">u8")
+    return pd.DataFrame(out.view(np.int64), columns=[f"p{i}" for i in range(PARITIES)])
 
 
-def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 12) -> DataFrame:
+def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 22) -> DataFrame:
     """Links a < b between ids of lines (columns id, line, repeats do no harm) within the threshold of the shorter one."""
     zero = F.lit(0).cast("bigint")
     items = lines.select("id", "line", zero.alias("grp"), zero.alias("text"), F.lit(0).alias("removed"))
@@ -251,7 +319,7 @@ def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 12)
     seen = bloom.build(ids, "id", n, 0.02, salt=3)
     texts = lines.where(seen.contains(F.col("id"))).select("id", "line").groupBy("id").agg(F.first("line").alias("line")).join(ids, "id", "left_semi")
     texts = stash(texts.withColumn("parity", _pair_parity("line")).withColumn("n", F.length("line")))
-    pairs, level = _pairs(met.where("NOT hot"), texts, distance), 1
+    found, level = _links(met.where("NOT hot"), texts, distance), 1
     items = texts.select("id", "line", zero.alias("grp"), zero.alias("text"), F.lit(0).alias("removed"))
     while (hot := met.where("hot")).head(1):
         # each level cuts what the level before left of a line, which is what its places refer to
@@ -259,30 +327,23 @@ def similar_lines(lines: DataFrame, distance: int = 2, hot_pairs: int = 1 << 12)
         cut = cut.mapInPandas(_cut(distance), "id bigint, line string, grp bigint, removed int")
         items = stash(cut.withColumn("text", F.xxhash64("line")).distinct())
         level += 1
-        met = stash(_meeting(items, distance, hot_pairs if level < LEVELS else 1 << 62))
-        pairs = pairs.unionByName(_pairs(met.where("NOT hot"), texts, distance, 1 if level < LEVELS else SALTS))
-    pairs = stash(pairs.distinct())
-    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(within_threshold(distance)(F.col("x"), F.col("y"))).select("a", "b")
+        met = stash(_meeting(items, distance, hot_pairs if level < LEVELS else None))
+        found = found.unionByName(_links(met.where("NOT hot"), texts, distance, 1 if level < LEVELS else SALTS))
+    return found.distinct()
 
 
-def _pairs(met: DataFrame, texts: DataFrame, distance: int, salts: int = 1) -> DataFrame:
-    """Pairs that meet on a key and whose lengths and parities do not rule them out.
+def _links(met: DataFrame, texts: DataFrame, distance: int, salts: int = 1) -> DataFrame:
+    """Links a < b, each once or more, between lines that meet on a key.
 
     With ``salts``, a key's probes are dealt over so many tasks, each of which gets all its entries.
     """
-    rows = met.select("key", "role", "id").join(texts.select("id", "parity", "n"), "id")
-    index = rows.where(F.col("role").bitwiseAND(F.lit(INDEX)) > 0).select("key", F.col("id").alias("p"), F.col("parity").alias("u"), F.col("n").alias("m"))
-    probe = rows.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).select(F.col("key").alias("k"), F.col("id").alias("q"), F.col("parity").alias("v"), F.col("n").alias("o"))
-    edits = threshold(F.least("m", "o"), distance)
-    near = (F.abs(F.col("m") - F.col("o")) <= edits) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 4 * edits)
-    on = F.col("key") == F.col("k")
+    rows = met.select("key", "role", "id")
     if salts > 1:
-        index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        probe = probe.withColumn("dealt", F.pmod(F.xxhash64("q", F.lit(5)), F.lit(salts)).cast("int"))
-        on = on & (F.col("salt") == F.col("dealt"))
-    found = index.join(probe, on & (F.col("p") != F.col("q")) & near)
-    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        entry = rows.where(F.col("role").bitwiseAND(F.lit(INDEX)) > 0).withColumn("role", F.lit(INDEX).cast("tinyint")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        probe = rows.where(F.col("role").bitwiseAND(F.lit(PROBE)) > 0).withColumn("role", F.lit(PROBE).cast("tinyint")).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(salts)).cast("int"))
+        rows = entry.unionByName(probe).select(F.xxhash64("key", "salt").alias("key"), "role", "id")
+    rows = rows.join(texts.select("id", "line", "n", "parity.*"), "id").repartition("key").sortWithinPartitions("key")
+    return rows.mapInPandas(_links_of_keys(distance), "a bigint, b bigint")
 
 
 def _classes(docs: DataFrame, row: Column, id_col: str, text_col: str, distance: int, min_chars: int) -> DataFrame:

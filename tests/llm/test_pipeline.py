@@ -60,7 +60,7 @@ def plain_lines(rows):
 
 def plain_copies(rows):
     groups, out, taken = near_groups_in_order(rows), [], set()
-    for row, group in sorted(zip(rows, groups, strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+    for row, group in sorted(zip(rows, groups, strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0)):  # ids that repeat here have different texts in different groups
         if group not in taken:
             out.append(row)
         taken.add(group)
