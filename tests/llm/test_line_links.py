@@ -24,7 +24,7 @@ def template_lines(rng):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot_pairs", [1, 2, 3, 30])
+@pytest.mark.parametrize("hot_pairs", [1, 3])
 def test_hot_levels_lose_no_link(spark, hot_pairs):
     lines = template_lines(random.Random(4))
     table = spark.createDataFrame(list(enumerate(lines)), "id bigint, line string")
