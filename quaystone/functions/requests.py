@@ -48,25 +48,29 @@ def status_class(status: Column) -> Column:
     return F.concat(F.floor(s / 100).cast("string"), F.lit("xx"))
 
 
+# Permissions by scope, methods (none: any) and query parameters (any of them; none: whatever there is). The
+# first row that fits counts.
+ACTIONS = (
+    ("bucket", "GET HEAD", "location", "GetBucketLocation"), ("bucket", "GET HEAD", "uploads", "ListBucketMultipartUploads"), ("bucket", "GET HEAD", "versioning", "GetBucketVersioning"),
+    ("bucket", "GET HEAD", "policy", "GetBucketPolicy"), ("bucket", "GET HEAD", "tagging", "GetBucketTagging"), ("bucket", "PUT", "versioning", "PutBucketVersioning"),
+    ("bucket", "PUT", "policy", "PutBucketPolicy"), ("bucket", "PUT", "tagging", "PutBucketTagging"), ("bucket", "PUT", "", "CreateBucket"), ("bucket", "DELETE", "policy", "DeleteBucketPolicy"),
+    ("bucket", "DELETE", "tagging", "PutBucketTagging"), ("bucket", "DELETE", "", "DeleteBucket"), ("bucket", "POST", "delete", "DeleteObject"), ("bucket", "", "", "ListBucket"),
+    ("object", "GET", "uploadId", "ListMultipartUploadParts"), ("object", "GET", "tagging", "GetObjectTagging"), ("object", "PUT", "tagging", "PutObjectTagging"), ("object", "PUT", "", "PutObject"),
+    ("object", "POST", "uploads uploadId", "PutObject"), ("object", "DELETE", "uploadId", "AbortMultipartUpload"), ("object", "DELETE", "", "DeleteObject"), ("object", "", "", "GetObject"),
+)
+
+
 def action_name(method: Column, bucket: Column, obj: Column, query: Column) -> Column:
     """The permission that a request needs. ``query`` is an array of the query's parameter names."""
-    has = lambda k: F.coalesce(F.array_contains(query, k), F.lit(False))
-    s3 = lambda name: F.lit("s3:" + name)
-    read = (
-        F.when(has("location"), s3("GetBucketLocation")).when(has("uploads"), s3("ListBucketMultipartUploads")).when(has("versioning"), s3("GetBucketVersioning"))
-        .when(has("policy"), s3("GetBucketPolicy")).when(has("tagging"), s3("GetBucketTagging")).otherwise(s3("ListBucket"))
-    )
-    put = F.when(has("versioning"), s3("PutBucketVersioning")).when(has("policy"), s3("PutBucketPolicy")).when(has("tagging"), s3("PutBucketTagging")).otherwise(s3("CreateBucket"))
-    drop = F.when(has("policy"), s3("DeleteBucketPolicy")).when(has("tagging"), s3("PutBucketTagging")).otherwise(s3("DeleteBucket"))
-    post = F.when(has("delete"), s3("DeleteObject")).otherwise(s3("ListBucket"))
-    on_bucket = F.when(method.isin("GET", "HEAD"), read).when(method == "PUT", put).when(method == "DELETE", drop).when(method == "POST", post).otherwise(s3("ListBucket"))
-    get = F.when(has("uploadId"), s3("ListMultipartUploadParts")).when(has("tagging"), s3("GetObjectTagging")).otherwise(s3("GetObject"))
-    on_object = (
-        F.when(method == "GET", get).when(method == "PUT", F.when(has("tagging"), s3("PutObjectTagging")).otherwise(s3("PutObject")))
-        .when((method == "POST") & (has("uploads") | has("uploadId")), s3("PutObject"))
-        .when(method == "DELETE", F.when(has("uploadId"), s3("AbortMultipartUpload")).otherwise(s3("DeleteObject"))).otherwise(s3("GetObject"))
-    )
-    return F.when(bucket == "", s3("ListAllMyBuckets")).when(obj == "", on_bucket).otherwise(on_object)
+    out = F.when(bucket == "", "s3:ListAllMyBuckets")
+    for scope, methods, names, action in ACTIONS:
+        fits = (obj == "") if scope == "bucket" else (obj != "")
+        if methods:
+            fits = fits & method.isin(*methods.split())
+        if names:
+            fits = fits & F.coalesce(F.arrays_overlap(query, F.lit(names.split())), F.lit(False))
+        out = out.when(fits, f"s3:{action}")
+    return out
 
 
 def operation_name(method: Column, bucket: Column, obj: Column, query: Column, copies: Column) -> Column:
